@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, decontaminate, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_substring": substring.op10_substring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
+    "op10_substring": substring.OP10_SQL,
+}
