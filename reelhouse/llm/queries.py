@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash, substring
+from . import bpe, decontaminate, quality, secrets, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_secrets": secrets.op3_secrets,
+    "op5_quality": quality.op5_quality,
     "op8_simhash": simhash.op8_simhash,
     "op10_substring": substring.op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_secrets": secrets.OP3_SQL,
     "op10_substring": substring.OP10_SQL,
 }
