@@ -101,3 +101,25 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     # Settled: every edge joins a node with the smallest of its component.
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def whole_groups(batches):
+    """Tables of whole groups from record batches whose rows are sorted by their first column, a long.
+
+    Only the last group of what has come so far is held back, as it may go on in the next batch.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if held and keys[0] != held[-1].column(0)[-1].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

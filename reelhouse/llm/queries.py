@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, secrets, simhash, substring
+from . import bpe, decontaminate, embedding, quality, secrets, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": secrets.op3_secrets,
     "op5_quality": quality.op5_quality,
     "op8_simhash": simhash.op8_simhash,
+    "op9_embedding": embedding.op9_embedding,
     "op10_substring": substring.op10_substring,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
+    "op9_embedding": embedding.OP9_SQL,
     "op10_substring": substring.OP10_SQL,
 }
