@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embedding, lines, quality, secrets, simhash, substring
+from . import bpe, decontaminate, embedding, lines, pii, quality, secrets, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secrets": secrets.op3_secrets,
+    "op4_personal_data": pii.op4_personal_data,
     "op5_quality": quality.op5_quality,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_simhash": simhash.op8_simhash,
