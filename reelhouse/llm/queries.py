@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embedding, lines, pii, quality, secrets, simhash, substring
+from . import bpe, decontaminate, embedding, licenses, lines, pii, quality, secrets, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": secrets.op3_secrets,
     "op4_personal_data": pii.op4_personal_data,
     "op5_quality": quality.op5_quality,
+    "op6_licenses": licenses.op6_licenses,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_simhash": simhash.op8_simhash,
     "op9_embedding": embedding.op9_embedding,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_secrets": secrets.OP3_SQL,
+    "op6_licenses": licenses.OP6_SQL,
     "op9_embedding": embedding.OP9_SQL,
     "op10_substring": substring.OP10_SQL,
 }
