@@ -108,13 +108,13 @@ def kilobytes(size: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    megabytes = F.concat(F.format_number(size / 1048576, "0.0"), F.lit(" MB"))
+    megabytes = F.format_string("%.1f MB", size / 1048576)
     return F.when(size >= 1048576, megabytes).otherwise(F.concat(F.round(size / 1024).cast("long").cast("string"), F.lit(" KB")))
 
 
 def megapixel_label(width: Column, height: Column) -> Column:
     known = (width > 0) & (height > 0)
-    return F.when(known, F.concat(F.format_number(width.cast("double") * height / 1e6, "0.0"), F.lit(" MP"))).otherwise("? MP")
+    return F.when(known, F.format_string("%.1f MP", width.cast("double") * height / 1e6)).otherwise("? MP")
 
 
 def csv_field(value: Column) -> Column:

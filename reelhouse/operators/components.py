@@ -19,7 +19,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def _block(h: Column, first: int, n: int) -> Column:
-    return F.shiftrightunsigned(h, first).bitwiseAND((1 << n) - 1)
+    return h if n == 64 else F.shiftrightunsigned(h, first).bitwiseAND((1 << n) - 1)
 
 
 def hamming_links(hashes: DataFrame, radius: int, column: str = "h") -> DataFrame:
