@@ -28,17 +28,28 @@ def importable_on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
 
 
+#: Whether Spark removes a query's shuffle files when the query ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and continue from there.
 
     The folder is the one in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is taken.
+    machine) a temporary folder is taken. Nothing reads the shuffle files behind a checkpoint
+    again, so Spark is told to remove them at once.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_TIDY, before)
 
 
 def spare_name(df: DataFrame, wanted: str) -> str:

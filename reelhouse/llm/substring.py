@@ -190,7 +190,9 @@ def remove_repeats(
     """
     common.importable_on_workers(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("mark", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
+    # Only rows that share an id need a mark to tell their texts apart.
+    shared = not docs.groupBy("doc").count().where("count > 1").isEmpty()
+    docs = docs.withColumn("mark", F.xxhash64("text").bitwiseAND(0x7FFFFFFF) if shared else F.lit(0).cast("long"))
     kind = docs.schema["doc"].dataType.simpleString()
     shape = f"block bigint, doc {kind}, place bigint"
 
@@ -199,16 +201,18 @@ def remove_repeats(
     blocks = docs.mapInArrow(_blocks(window, gram, whole=True), f"anchor bigint, {shape}, n int")
     blocks = common.checkpoint(blocks.join(counted, "anchor", "left_semi"))
 
-    placed = _repeated(blocks)
-    copied = placed.where(~_is_first()).select("doc", _mark().alias("mark"), _position().alias("pos"), "n")
     # An anchor with one block only has all its windows in that block's earliest copy.
-    several = (
-        blocks.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("anchor")
-    )
-    at_boundary = placed.where(_is_first()).join(several, "anchor", "left_semi")
-    checks = at_boundary.groupBy("doc", _mark().alias("mark")).agg(
-        F.collect_set(F.struct(_position().alias("pos"), "n", "anchor")).alias("checks")
+    several = blocks.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b")
+    several = several.select("anchor", F.lit(True).alias("several"))
+    placed = _repeated(blocks).join(several, "anchor", "left").where(~_is_first() | F.col("several"))
+    # A block is a copy, or (with its anchor) the boundary of one.
+    judged = placed.select(
+        "doc", _mark().alias("mark"), _position().alias("pos"), "n", F.when(_is_first(), F.col("anchor")).alias("anchor")
     )
+    judged = common.checkpoint(judged)
+    copied = judged.where("anchor IS NULL").select("doc", "mark", "pos", "n")
+    at_boundary = judged.where("anchor IS NOT NULL").groupBy("doc", "mark")
+    checks = at_boundary.agg(F.collect_set(F.struct("pos", "n", "anchor")).alias("checks"))
 
     def with_docs(found: DataFrame, how: str) -> DataFrame:
         found = found.withColumnsRenamed({"doc": "d", "mark": "m"})
@@ -218,6 +222,7 @@ def remove_repeats(
     looked_up = with_docs(checks, "inner").dropDuplicates(["doc", "mark"]).select("doc", "text", "mark", "checks")
     single = _repeated(looked_up.mapInArrow(_windows(window), f"anchor bigint, {shape}"))
     single = single.where(~_is_first()).select("doc", _mark().alias("mark"), _position().alias("pos"), F.lit(1).alias("n"))
+    single = common.checkpoint(single)
     spans = copied.unionByName(single).groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
     cut = with_docs(spans, "left").select("doc", _cut_column(F.col("text"), F.col("spans"), window, digest).alias("c"))
     return cut.select(F.col("doc").alias(id_col), "c.n_words", "c.n_removed", "c.kept", "c.factors")
