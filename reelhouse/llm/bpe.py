@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from functools import cache
 from heapq import heappop, heappush
 from itertools import product
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pre-tokens, and pieces between spaces, whose ids a worker remembers; beyond that it starts anew between documents. Only speed depends on it.
-REMEMBERED = 700_000
+#: Pre-tokens, words and other pieces whose ids a worker remembers: so many met lately, and as many before them.
+#: Only speed depends on it.
+REMEMBERED = {"tokens": 700_000, "words": 300_000, "spans": 50_000}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,6 +38,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
+#: Packs so many ids.
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(33)]
 #: 1 << k for the 256 ranks of a word of the bitmap's lower level.
 _BIT = [1 << k for k in range(256)]
 
@@ -63,14 +67,14 @@ def encode_piece(piece: bytes, merges: Merges) -> list[int]:
     n = len(piece)
     top = 0  # the upper level: which words of ``leaves`` aren't zero
     buckets: dict[int, list[int]] = {}  # positions by rank, each a heap
-    ends = list(range(1, n + 1))  # a part begins at its position and ends here; 0 once it is merged away
+    ends = list(range(1, n + 1))  # a part begins at its position and ends here
     before = list(range(-1, n - 1))
     pair_rank = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]  # of the pair that begins at a position
     pair_rank.append(-1)
-    i = -1
+    live = i = 0  # live: pairs that can be merged; what else the queue holds is stale
     for rank in pair_rank:
-        i += 1
         if rank >= 0:
+            live += 1
             if rank in buckets:
                 buckets[rank].append(i)  # positions come in order: a heap
             else:
@@ -78,7 +82,8 @@ def encode_piece(piece: bytes, merges: Merges) -> list[int]:
                 word = rank >> 8
                 leaves[word] |= bit[rank & 255]
                 top |= bit[word]
-    while top:
+        i += 1
+    while live:
         word = (top & -top).bit_length() - 1
         bits = leaves[word]
         rank = word << 8 | (bits & -bits).bit_length() - 1
@@ -95,13 +100,17 @@ def encode_piece(piece: bytes, merges: Merges) -> list[int]:
             continue  # stale: the pair was merged away or has grown since
         middle = ends[i]
         end = ends[i] = ends[middle]
-        pair_rank[middle] = -1
+        live -= 1
+        if pair_rank[middle] >= 0:
+            pair_rank[middle] = -1
+            live -= 1
         rank = -1
         if end < n:
             before[end] = i
             rank = get(piece[i : ends[end]], -1)
         pair_rank[i] = rank
         if rank >= 0:
+            live += 1
             if rank in buckets:
                 heappush(buckets[rank], i)
             else:
@@ -112,8 +121,11 @@ def encode_piece(piece: bytes, merges: Merges) -> list[int]:
         left = before[i]
         if left >= 0:
             rank = get(piece[left:end], -1)
+            if pair_rank[left] >= 0:
+                live -= 1
             pair_rank[left] = rank
             if rank >= 0:
+                live += 1
                 if rank in buckets:
                     heappush(buckets[rank], left)
                 else:
@@ -121,6 +133,8 @@ def encode_piece(piece: bytes, merges: Merges) -> list[int]:
                     word = rank >> 8
                     leaves[word] |= bit[rank & 255]
                     top |= bit[word]
+    for rank in buckets:
+        leaves[rank >> 8] = 0
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : ends[i]]])
@@ -129,15 +143,24 @@ def encode_piece(piece: bytes, merges: Merges) -> list[int]:
 
 
 class _Remembered(dict):
-    """Values of ``make`` by key, made when first asked for."""
+    """Values of ``make`` by key, made when first asked for, in two generations of bounded size."""
 
-    def __init__(self, make) -> None:
-        self.make = make
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def age(self) -> None:
+        """Called between documents: what isn't asked for in a whole generation is forgotten."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
 
 #: Just before a single space and a character that isn't white space. No pre-token reaches across: white space
 #: before such a space ends a pre-token, and the space begins the next one.
@@ -156,24 +179,23 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, seams: bool = False) -> None:
         self.seams, self.merges = seams, Merges(ranks)
         self.find = regex.compile(pattern).findall
-        self.tokens = _Remembered(self._token)
-        self.spans = _Remembered(self._span)
-        self.words = _Remembered(lambda word: self._span(" " + word))
+        self.tokens = _Remembered(self._token, REMEMBERED["tokens"])
+        self.spans = _Remembered(self._span, REMEMBERED["spans"])
+        self.words = _Remembered(lambda word: self._span(" " + word), REMEMBERED["words"])
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
 
     def _token(self, token: str) -> bytes:
         ids = encode_piece(token.encode("utf-8", "surrogatepass"), self.merges)
-        return np.array(ids, "<u4").tobytes()
+        return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else np.array(ids, "<u4").tobytes()
 
     def _span(self, span: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.find(span)))
 
     def encode(self, text: str) -> bytes:
         for known in (self.tokens, self.spans, self.words):
-            if len(known) > REMEMBERED:
-                known.clear()
+            known.age()
         if not self.seams:
             return self._span(text)
         if _NO_SEAM.search(text):
