@@ -143,7 +143,7 @@ def _within_keys(radius: int):
 
 
 def _bits(fp: Column, first: int, n: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND((1 << n) - 1)
+    return fp if n == 64 else F.shiftrightunsigned(fp, first).bitwiseAND((1 << n) - 1)
 
 
 def _two_blocks(fp: Column) -> Column:
