@@ -372,12 +372,12 @@ def dest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = manifest(spark, sf_dir).withColumn("role", F.expr("IF(id % 4 < 3, 'review', 'keep')"))
+    files = manifest(spark, sf_dir).withColumn("role", F.lit("review"))
     return review.queue(files.withColumn("group_id", F.expr("id div 4")))
 
 
 _QUEUE_SQL = f"""WITH {MANIFEST_SQL}, sized AS (
-  SELECT *, id // 4 AS group_id, coalesce(width * height, 0) AS px FROM manifest WHERE id % 4 < 3
+  SELECT *, id // 4 AS group_id, coalesce(width * height, 0) AS px FROM manifest
 ), queued AS (
   SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY px DESC, size DESC, id) = 1 AS suggested,
     px = max(px) OVER (PARTITION BY group_id) AND px > 0 AS best_res,
