@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from reelhouse.llm import bpe, common, decontaminate, embedding, licenses, lines, pii, quality, secrets, simhash, substring
+from reelhouse.llm import alike, bpe, common, decontaminate, embedding, licenses, lines, pii, quality, secrets, simhash, substring
 from reelhouse.llm.queries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -464,3 +464,61 @@ def test_pipeline_stages(spark, tmp_path):
     assert 120 in gone and gone <= {120, 121, 122, 125}
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert out & set(range(2, 120)) and 122 not in out
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return root
+
+
+def test_near_duplicates_by_jaccard(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randrange(1, 120)) for _ in range(40)]
+    for t in texts[:40]:
+        w = t.split()
+        for cut in (0.03, 0.08, 0.1, 0.12, 0.2):
+            texts.append(" ".join(w + [f"tail{len(texts)}" for _ in range(int(len(w) * cut))]))
+        texts.append(" ".join(x if rng.random() > 0.02 else f"new{rng.randrange(9)}" for x in w).upper())
+    texts += [None, "", " \n", "one two", "One  TWO", texts[0], "one two three"]
+    found = {r["doc_id"]: r["component_id"] for r in alike.near_duplicates(docs(spark, *texts)).collect()}
+    assert found == dict(enumerate(brute_components(texts)))
+    assert alike.near_duplicates(docs(spark)).count() == 0
+
+
+def test_near_duplicates_in_mixed_buckets():
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 2**62, 100)
+    rows = [np.unique(np.concatenate([base[n:], rng.integers(0, 2**62, n)])) for n in rng.integers(0, 20, 60)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    got = alike.bucket_links(np.arange(60), np.concatenate(rows), offsets)
+    sets = [set(r.tolist()) for r in rows]
+
+    def groups(pairs):
+        root = list(range(60))
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = [x if r == y else r for r in root]
+        return {frozenset(i for i in range(60) if root[i] == r) for r in root}
+
+    every = [(a, b) for a in range(60) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert groups(got) == groups(every) and len(got) < 60
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    rng = random.Random(18)
+    text = prose(rng, 200).split()
+    copies = [" ".join(text), " ".join([*text, "more", "words"]), " ".join(text[:100] + ["x"] + text[101:]), " ".join(text[:60] + ["x"] * 60)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, *copies), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 3}
+    pairs = [(t := prose(rng, 300), " ".join(w if i % 45 else "other" for i, w in enumerate(t.split()))) for _ in range(60)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, *(t for pair in pairs for t in pair)), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(0, 120, 2))
