@@ -315,6 +315,17 @@ def test_lines_of_null_and_repeated_ids(spark):
     ]
 
 
+def test_lines_without_spaces(spark):
+    rng = random.Random(19)
+    base = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(200)) for _ in range(20)]
+    urls = ["https://" + "".join(rng.choice("abcdef0123456789") for _ in range(150)) for _ in range(20)]
+    texts = base + urls + ["x" + t[1:] for t in base] + ["ftp" + t[5:] for t in urls]
+    found = lines.dedup_lines(docs(spark, *texts))
+    assert [r["text"] for r in sorted(found.collect(), key=lambda r: r["doc_id"])] == brute_lines(texts) == texts[:40] + [""] * 40
+    placed = docs(spark, *urls).select(F.col("doc_id").alias("doc"), F.lit(0).alias("mark"), "text")
+    assert lines._buckets(lines._signed(lines._lines(placed, lines.MIN_CHARS)), 1).count() == 0
+
+
 # 8: SimHash
 
 
