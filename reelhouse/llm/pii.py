@@ -6,8 +6,8 @@ national registers and accounts. It is trained here, in numpy, from labelled spa
 a bounded sample of documents, and the same places with such other forms put in.
 
 A text is decoded in windows of ``WIDTH`` characters, one every ``STRIDE``. A span of the network's kinds has a
-digit or an at sign by definition, so only windows whose middle holds such a character, or the word
-"at" between brackets, are decoded; every possible span lies whole in one of them unless it is longer
+digit, an at sign or the word "at" (``_worth``), so only windows whose middle holds one of them are
+decoded: "at" in any case, bare or between brackets of any kind; every possible span lies whole in one of them unless it is longer
 than half a window. What the windows propose is reconciled over the whole text: of all sets of spans
 that don't overlap, and don't overlap base spans, the one with the largest sum of scores is taken.
 """
@@ -38,7 +38,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
+#: The word "at": no ASCII letter, digit or underline around it.
+_AT = r"(?<![A-Za-z0-9_])[Aa][Tt](?![A-Za-z0-9_])"
+_TRIGGER = re.compile(rf"[0-9@]|{_AT}")
+#: Where a training window might hold a span that nothing labels; a bare "at" of prose is to be learned as none.
+_UNSURE = re.compile(rf"[0-9@]|[\[({{<] ?{_AT} ?[\])}}>]")
 
 
 def _luhn(digits: str) -> bool:
@@ -276,6 +280,13 @@ def train(windows: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = 5
 # --- labelled spans
 
 
+def _name(rng) -> str:
+    """A made-up name of two to four syllables."""
+    pick = lambda of: of[rng.integers(len(of))]
+    parts = (pick("b c d f g h j k l m n p r s t v w z ch st br".split()) + pick("aeiou") + pick(["", "", "n", "r", "s", "l", "m"]) for _ in range(rng.integers(2, 5)))
+    return "".join(parts)
+
+
 def _other_form(kind: int, found: str, rng) -> tuple[str, int] | None:
     """``found`` written as the patterns don't know it, and its kind among the added ones."""
     digits = "".join(c for c in found if c.isdigit())
@@ -285,10 +296,13 @@ def _other_form(kind: int, found: str, rng) -> tuple[str, int] | None:
 
     if kind == 0:
         user, _, host = found.partition("@")
-        left, right = [(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", ".")][rng.integers(4)]
-        if not any(c.isdigit() for c in user):
-            user += draw(2)
-        return user + left + host.replace(".", right), len(BASE)
+        forms = [(" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", "."), (" {at} ", "."), (" at ", "."), ("<at>", "<dot>")]
+        left, right = forms[rng.integers(len(forms))]
+        if rng.integers(3):  # names without digits, such as people's
+            user = ["", ".", "_"][rng.integers(3)].join(_name(rng) for _ in range(1 + rng.integers(2)))
+            host = _name(rng) + "." + host.rpartition(".")[2] if rng.integers(2) else host
+        other = user + left + host.replace(".", right)
+        return other.upper() if not rng.integers(4) else other, len(BASE)
     if kind == 3:
         d = digits[-10:].rjust(10, "5")
         forms = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"0{d[:3]} {d[3:]}"]
@@ -327,9 +341,9 @@ def labelled_windows(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 0
             other, added = _other_form(kind, text[at:end], rng)
             if len(other) <= WIDTH // 2:
                 head = text[max(0, at - int(rng.integers(0, WIDTH - len(other) + 1))) : at]
-                if not _TRIGGER.search(head):
+                if not _UNSURE.search(head):
                     tail = text[end : end + WIDTH - len(head) - len(other)]
-                    if not _TRIGGER.search(tail):
+                    if not _UNSURE.search(tail):
                         out.append((head + other + tail, [(len(head), added, len(head) + len(other))]))
                         plain = _plain_number(rng)
                         out.append((head + plain + tail[: WIDTH - len(head) - len(plain)], []))
@@ -337,7 +351,7 @@ def labelled_windows(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 0
             break
         if len(text) > WIDTH:
             a = int(rng.integers(0, len(text) - WIDTH))
-            if not base_spans(text[a : a + WIDTH]) and not _TRIGGER.search(text[a : a + WIDTH]):
+            if not base_spans(text[a : a + WIDTH]) and not _UNSURE.search(text[a : a + WIDTH]):
                 out.append((text[a : a + WIDTH], []))
     return out[:most]
 
@@ -425,7 +439,7 @@ def _worth(text: str, kind: int) -> bool:
     """What a span of an added kind has by definition."""
     digits = sum(c.isdigit() for c in text)
     if kind == len(BASE):
-        return bool(re.search(r"@|\bat\b", text)) and ("." in text or "dot" in text) and len(text) >= 8
+        return bool(re.search(rf"@|{_AT}", text)) and ("." in text or "dot" in text.lower()) and len(text) >= 8
     return 7 <= digits <= 34
 
 

@@ -206,6 +206,27 @@ def test_tagger_on_held_out_spans(tagger):
     assert 2 * right / (proposed + there) > 0.7
 
 
+def test_addresses_without_digits(tagger):
+    names = "jane.doe john_smith mary anna.berg petra lee.wong omar carla.ruiz".split()
+    hosts = ["example", "mailbox", "company", "posthouse"]
+    rng, n, decoded, found, more = random.Random(20), 0, 0, 0, 0
+    for name in names:
+        for host in hosts:
+            forms = [f"{name} at {host} dot com", f"{name} (AT) {host} (DOT) com".upper(), f"{name} {{at}} {host}.com"]
+            for form in forms:
+                before = " ".join(rng.choice(WORDS) for _ in range(40)) + " "
+                text = before + form + " " + before
+                n += 1
+                at = [a for a in pii._windows(text) if a <= len(before) and len(before) + len(form) <= a + pii.WIDTH]
+                decoded += bool(at)
+                (_, spans), = pii.find([text], tagger)
+                got = [(a, b) for a, k, b in spans if pii.KINDS[k] == "address"]
+                found += any(a < len(before) + len(form) and b > len(before) for a, b in got)
+                more += sum(b <= len(before) or a >= len(before) + len(form) for a, b in got)
+    print(n, decoded, found, more)
+    assert decoded == n and found >= 0.7 * n and more <= 0.1 * n
+
+
 def test_personal_data_rows(spark, tagger):
     texts = ["write to a@b.org now", None, "", "write to a@b.org now"]
     found = pii.find_personal_data(docs(spark, *texts, ids=[3, 1, None, 3]), tagger=tagger)
