@@ -499,7 +499,12 @@ def _listed(spans: str) -> Column:
     return F.concat_ws(",", part)
 
 
+def _count(spans: str, kind: int) -> Column:
+    # A function of one argument: a second one would be the element's place.
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(common.read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
+    counts = [_count("base", k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
