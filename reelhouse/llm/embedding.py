@@ -10,7 +10,8 @@ To count for pairs that can collide at all, vectors are first dealt out by ``tab
 further projections cut into cells. ``depth`` grows with the logarithm of the number of vectors, so a
 cell holds about as many however large the table is, and ``tables`` is set so that a pair at the
 cosine asked for shares a cell with probability 1 - ``MISS``. Within a cell, rows are sorted by the
-first counted projection and each row's window in it is found by bisection. A cell with more than
+first counted projection and each row's neighbours in it are found by bisection, in a window so wide that it
+loses no more than ``MISS`` of the pairs asked for; the narrower window of the counts comes after that. A cell with more than
 ``HOT_CELL`` rows is compared in blocks of pairs of its parts, in tasks of their own.
 """
 
@@ -35,6 +36,8 @@ IN_CELL = 16
 
 #: Width of a cell, and half a window's, in deviations of a projection's difference at the cosine asked for.
 _CELL, _HALF = 7.5, 2.0
+#: Half the window of the sorted projection: a normal variable is beyond it with probability 0.0005.
+_SORTED = 3.5
 _STEPS = 24  # of the quantised projections in a deviation of a unit vector's
 
 
@@ -47,6 +50,7 @@ class Plan:
     tables: int
     window: int  # half, in quantised steps
     collisions: int
+    reach: int  # half the sorted projection's window, in quantised steps
 
     @classmethod
     def of(cls, vectors: int, cosine: float, miss: float = MISS) -> Plan:
@@ -62,7 +66,8 @@ class Plan:
         below, collisions = 0.0, 0
         while (below := below + math.comb(COUNTED, collisions) * p**collisions * (1 - p) ** (COUNTED - collisions)) < miss:
             collisions += 1
-        return cls(deviation, depth, tables, math.ceil(_HALF * deviation * _STEPS) + 1, collisions)
+        window, reach = (math.ceil(half * deviation * _STEPS) + 1 for half in (_HALF, _SORTED))
+        return cls(deviation, depth, tables, window, collisions, reach)
 
 
 def _cells(plan: Plan):
@@ -117,7 +122,7 @@ def _count(plan: Plan):
         order = np.argsort(sketch[:, 0], kind="stable")
         cls, part, sketch, keys = cls[order], part[order], sketch[order], keys[order]
         first = sketch[:, 0]
-        ends = np.searchsorted(first, first + plan.window, side="right")
+        ends = np.searchsorted(first, first + plan.reach, side="right")
         crossed = part.max() != part.min()  # a block of two parts of a hot cell: pairs within a part are found elsewhere
         for i in range(len(cls)):
             near = slice(i + 1, ends[i])
@@ -202,11 +207,15 @@ def near_duplicates(
     valid = valid & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
     good = rows.where("valid")
-    classes = good.groupBy("label", "v").agg(F.min("id").alias("cls"), F.count("*").alias("n"))
-    classes = common.checkpoint(classes)
+    classes = good.groupBy("label", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    # A class has a number of its own: ids need not be unique. The numbers hold once the table is written.
+    classes = common.checkpoint(classes.withColumn("cls", F.monotonically_increasing_id()))
     indexed = classes.select("cls", F.xxhash64("label").alias("label"), "v")
     pairs = candidates(indexed, cosine)
-    sized = classes.select("cls", "v", "n", "label", F.sqrt(_dot(F.col("v"), F.col("v"))).alias("norm"))
+    # Components of at most 1, the largest of them 1: no square or sum of them can overflow, and no norm is 0.
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    scaled = classes.withColumn("largest", largest).withColumn("s", F.transform("v", lambda x: x / F.col("largest")))
+    sized = scaled.select("cls", F.col("s").alias("v"), "n", "label", F.sqrt(_dot(F.col("s"), F.col("s"))).alias("norm"))
     a = sized.select(*(F.col(c).alias(f"a_{c}") for c in sized.columns))
     b = sized.select(*(F.col(c).alias(f"b_{c}") for c in sized.columns))
     both = pairs.join(a, F.col("a") == F.col("a_cls")).join(b, F.col("b") == F.col("b_cls"))
@@ -219,14 +228,16 @@ def near_duplicates(
     linked = halves.groupBy("cls").agg(F.sum("m").alias("m"))
     joined = common.connected_components(links, "a", "b").withColumnRenamed("node", "cls")
     told = classes.join(linked, "cls", "left").join(joined, "cls", "left")
-    told = told.select(
+    told = told.withColumn("root", F.coalesce("component", "cls"))
+    least = told.groupBy("root").agg(F.min("first").alias("component_id"))
+    told = told.join(least, "root").select(
         F.col("label").alias("l"),
         F.col("v").alias("w"),
         (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("component", "cls").alias("component"),
+        "component_id",
     )
     out = rows.join(told, F.col("valid") & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
-    component = F.coalesce("component", "id")
+    component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -240,13 +251,15 @@ def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
-    sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS norm
+WITH RECURSIVE scaled AS (
+  SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]),
+    lambda x: x / list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda y: abs(y)))) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), v AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM scaled
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / a.norm / b.norm >= 0.98
