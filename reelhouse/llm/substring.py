@@ -7,11 +7,16 @@ windows pick the same anchor at the same offset, so a block depends only on its
 passage is cut into the same blocks wherever it stands. The index has, for a block, the earliest
 place of its words.
 
-A document is parsed from left to right: a block whose words are indexed at an earlier place is
-copied from there, and adjacent copies join to one factor. Where a factor breaks off, there is a
-block that isn't repeated as a whole but whose anchor is: there, at the boundary, the windows are
-looked up one by one among the blocks with that anchor. So every window that occurs earlier is
-found, and no other: hashes have 128 bits together, and each decision is about equal words.
+What a document has in common with the reference are copies: a block whose words are indexed at an
+earlier place, with that place. Where a block isn't repeated as a whole but its anchor is, its windows
+are looked up one by one among the blocks with that anchor, so that copies begin and end at the word.
+A document is then parsed greedily from left to right (``parse``): copies that continue each other in
+one source are one factor; at each word the factor that reaches furthest is taken, and the parse goes
+on at its end. At that boundary the windows that cross it have been looked up as well, so every window
+that occurs earlier lies within factors that join there, and no other word does. Factors are at least
+a window long, or cut off by the factor before.
+
+A word is told by 64 bits, a run of words by 64 bits of its own and 64 of its anchor.
 
 Only blocks with a repeated anchor go past the first count. All aggregations combine before the
 shuffle, and joins back to the blocks can be split by adaptive execution, so a passage that a third
@@ -128,43 +133,74 @@ def _mark(place: str = "place") -> Column:
     return F.shiftrightunsigned(F.col(place), 32)
 
 
-def _removed(n_words: int, spans: list[dict], window: int) -> np.ndarray:
-    delta = np.zeros(n_words + 1, np.int64)
-    for s in spans:
-        delta[s["pos"]] += 1
-        delta[s["pos"] + s["n"] + window - 1] -= 1
-    return np.cumsum(delta[:-1]) > 0
+def _source() -> tuple[Column, Column]:
+    """The document that a copy is from, and the number of its first word there."""
+    return F.col("first.doc").alias("source"), _position("first.place").alias("at")
+
 
+def parse(copies: list[tuple], window: int) -> list[tuple]:
+    """The greedy parse: factors (start, end, source, its word at ``start``) from copies (pos, n, source, at).
 
-RESULT = "struct<n_words: bigint, n_removed: bigint, kept: {kept}, factors: array<struct<start: bigint, end: bigint>>>"
+    A copy stands for ``n`` windows. Factors don't overlap; together they cover all that copies cover.
+    """
+    runs: dict[tuple, list[list]] = {}  # in one source at one distance
+    for pos, n, source, at in sorted(copies, key=lambda c: c[0]):
+        own = runs.setdefault((source, at - pos), [])
+        end = pos + n + window - 1
+        if own and pos <= own[-1][1]:
+            own[-1][1] = max(end, own[-1][1])
+        else:
+            own.append([pos, end, source, at])
+    out, word, furthest = [], 0, None
+    ready = sorted((run for own in runs.values() for run in own), key=lambda run: (run[0], -run[1]))
+    k = 0
+    while k < len(ready) or furthest:
+        while k < len(ready) and ready[k][0] <= word:
+            if furthest is None or ready[k][1] > furthest[1]:
+                furthest = ready[k]
+            k += 1
+        if furthest is not None and furthest[1] > word:
+            start, end, source, at = furthest
+            out.append((word, end, source, at + word - start))
+            word = end
+        elif k < len(ready):
+            word = ready[k][0]
+        furthest = furthest if furthest is not None and furthest[1] > word else None
+    return out
+
+
+RESULT = (
+    "struct<n_words: bigint, n_removed: bigint, kept: string,"
+    " factors: array<struct<start: bigint, end: bigint, source: {kind}, source_start: bigint>>>"
+)
 
 
-def _cut_column(text: Column, spans: Column, window: int, digest: bool) -> Column:
-    """What is left of each text without the words that ``spans`` cover: the text or its SHA-256."""
+def _cut_column(text: Column, spans: Column, window: int, digest: bool, kind: str) -> Column:
+    """What the factors of each text leave of it: the text or its SHA-256. ``kind``: the type of a document's id."""
 
-    @F.arrow_udf(RESULT.format(kept="string"))
+    @F.arrow_udf(RESULT.format(kind=kind))
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        of = spans.type.value_type.field("source").type
         out = []
         for text, found in zip(texts.cast(pa.large_binary()).fill_null(b"").to_pylist(), spans):
-            parts, found = text.split(), found.as_py()
-            n, n_removed, factors = len(parts), 0, []
-            if found:
-                gone = _removed(n, found, window)
-                edges = np.diff(gone.astype(np.int8), prepend=0, append=0)
-                factors = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()))
-                n_removed = int(gone.sum())
-                parts = [w for w, g in zip(parts, gone.tolist()) if not g]
-            kept = b" ".join(parts)
+            parts = text.split()
+            factors = parse([tuple(c.values()) for c in found.as_py()], window) if found.is_valid else []
+            left, at = [], 0
+            for start, end, *_ in factors:
+                left += parts[at:start]
+                at = end
+            left += parts[at:]
+            kept = b" ".join(left)
             out.append(
                 {
-                    "n_words": n,
-                    "n_removed": n_removed,
+                    "n_words": len(parts),
+                    "n_removed": len(parts) - len(left),
                     "kept": hashlib.sha256(kept).hexdigest() if digest else kept.decode(),
-                    "factors": [{"start": a, "end": b} for a, b in factors],
+                    "factors": [dict(zip(("start", "end", "source", "source_start"), f)) for f in factors],
                 }
             )
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        fields = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("factors", kind)]
+        factor = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", of), ("source_start", pa.int64())])
+        fields = [("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("factors", pa.list_(factor))]
         return pa.array(out, pa.struct(fields))
 
     return cut(text, spans)
@@ -183,7 +219,7 @@ def remove_repeats(
     Earlier: in a document with a smaller id, or in the same one at an earlier word. Returns
     (``id_col``, n_words, n_removed, kept, factors), one row per input row: ``kept`` is the words left
     with one space between them (``digest``: its SHA-256 in hex), ``factors`` are the duplicate spans
-    as word numbers. Null texts have no words; texts with fewer words than a window keep all.
+    as word numbers, each with the document and the word that it is copied from. Null texts have no words; texts with fewer words than a window keep all.
     A null id counts as smaller than any other. Of rows with the same id, equal texts are one
     document and get the same result; different texts are documents in a fixed order of their hashes.
     An empty table gives an empty result. Other columns aren't read.
@@ -197,7 +233,8 @@ def remove_repeats(
     shape = f"block bigint, doc {kind}, place bigint"
 
     anchors = docs.mapInArrow(_blocks(window, gram, whole=False), "anchor bigint")
-    counted = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join below reads it by a shuffle and a hot anchor's blocks can be split.
+    counted = common.checkpoint(anchors.groupBy("anchor").count().where("count > 1").select("anchor"))
     blocks = docs.mapInArrow(_blocks(window, gram, whole=True), f"anchor bigint, {shape}, n int")
     blocks = common.checkpoint(blocks.join(counted, "anchor", "left_semi"))
 
@@ -207,10 +244,15 @@ def remove_repeats(
     placed = _repeated(blocks).join(several, "anchor", "left").where(~_is_first() | F.col("several"))
     # A block is a copy, or (with its anchor) the boundary of one.
     judged = placed.select(
-        "doc", _mark().alias("mark"), _position().alias("pos"), "n", F.when(_is_first(), F.col("anchor")).alias("anchor")
+        "doc",
+        _mark().alias("mark"),
+        _position().alias("pos"),
+        "n",
+        F.when(_is_first(), F.col("anchor")).alias("anchor"),
+        *_source(),
     )
     judged = common.checkpoint(judged)
-    copied = judged.where("anchor IS NULL").select("doc", "mark", "pos", "n")
+    copied = judged.where("anchor IS NULL").drop("anchor")
     at_boundary = judged.where("anchor IS NOT NULL").groupBy("doc", "mark")
     checks = at_boundary.agg(F.collect_set(F.struct("pos", "n", "anchor")).alias("checks"))
 
@@ -221,10 +263,10 @@ def remove_repeats(
 
     looked_up = with_docs(checks, "inner").dropDuplicates(["doc", "mark"]).select("doc", "text", "mark", "checks")
     single = _repeated(looked_up.mapInArrow(_windows(window), f"anchor bigint, {shape}"))
-    single = single.where(~_is_first()).select("doc", _mark().alias("mark"), _position().alias("pos"), F.lit(1).alias("n"))
+    single = single.where(~_is_first()).select("doc", _mark().alias("mark"), _position().alias("pos"), F.lit(1).alias("n"), *_source())
     single = common.checkpoint(single)
-    spans = copied.unionByName(single).groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
-    cut = with_docs(spans, "left").select("doc", _cut_column(F.col("text"), F.col("spans"), window, digest).alias("c"))
+    spans = copied.unionByName(single).groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "n", "source", "at")).alias("spans"))
+    cut = with_docs(spans, "left").select("doc", _cut_column(F.col("text"), F.col("spans"), window, digest, kind).alias("c"))
     return cut.select(F.col("doc").alias(id_col), "c.n_words", "c.n_removed", "c.kept", "c.factors")
 
 

@@ -47,17 +47,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _chars(data: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """64 scrambled bits for each byte at its place in a word."""
+    return mixed((within.astype(np.uint64) << np.uint64(8) | data) * _BYTE + _WORD)
+
+
+#: ``_chars`` of all bytes at a word's first places.
+_PLACES = 64
+_FIRST = _chars(np.tile(np.arange(256, dtype=np.uint64), _PLACES), np.repeat(np.arange(_PLACES), 256))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each word's bytes: a sum of scrambled bits, so no arrangement of letters is special."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     at = np.cumsum(lengths)
     within = np.arange(at[-1]) - np.repeat(at - lengths, lengths)
-    chars = data[within + np.repeat(starts, lengths)].astype(np.uint64)
-    chars += np.uint64(1)
-    chars *= powers(_BYTE, int(lengths.max()))[within]
-    return mixed(np.add.reduceat(chars, at - lengths))
+    chars = data[within + np.repeat(starts, lengths)]
+    bits = _FIRST[np.minimum(within, _PLACES - 1) << 8 | chars]
+    far = np.flatnonzero(within >= _PLACES)
+    if len(far):
+        bits[far] = _chars(chars[far].astype(np.uint64), within[far])
+    return mixed(np.add.reduceat(bits, at - lengths))
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
