@@ -62,6 +62,12 @@ def test_bpe_equals_the_library(ranks):
             ids = codec.encode(t)
             assert np.frombuffer(ids, "<u4").tolist() == want
             assert codec.decode(ids) == t.encode()
+    for codec in codecs:
+        assert list(codec.encode_all(texts)) == [codec.encode(t) for t in texts]
+    for codec in codecs:
+        fresh = bpe.Codec(ranks, public_tokenizers.PATTERN, codec.seams)
+        assert list(fresh.encode_all(texts)) == [codec.encode(t) for t in texts]
+        assert not any(fresh.merges.leaves) and set(fresh.merges.heads) == {-1}
     assert not any(codecs[0].merges.leaves)
 
 
@@ -435,6 +441,37 @@ def test_embedding_recall(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_all_scales(spark):
+    """Planted links between vectors of extreme scale, and two unlike vectors with one id."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(300, 64))
+    near = np.repeat(base[:200], 5, axis=0)
+    near = near + rng.normal(size=near.shape) * np.linalg.norm(near, axis=1, keepdims=True) * rng.uniform(0.05, 0.16, (1000, 1)) / 8
+    vectors = np.concatenate([base, near]) * 10.0 ** rng.choice([0, 0, 170, -170, 200], (1300, 1))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(5, vectors[7].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("first", F.lit(1))
+    x = np.array([r[1] for r in rows])
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    alike = x @ x.T >= 0.98
+    want = sorted(zip((r[0] for r in rows), (alike.sum(axis=1) - 1).tolist()))
+    got = sorted((r["vec_id"], r["n_links"]) for r in embedding.near_duplicates(df).collect())
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(g[1] for g in got) >= 0.99 * sum(w[1] for w in want) > 1000
+
+
+def test_embedding_hot_cells(spark):
+    """Cells with more rows than may be compared at once, full of links."""
+    rng = np.random.default_rng(22)
+    v = rng.normal(size=(6, 16)).repeat(30, axis=0)
+    v = v + rng.normal(size=v.shape) * 0.1
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(v)], "cls bigint, label bigint, v array<double>")
+    links = {(a, b) for a in range(180) for b in range(a + 1, 180) if x[a] @ x[b] >= 0.98}
+    got = {tuple(r) for r in embedding.candidates(df, 0.98, hot_cell=8).collect()}
+    assert len(links) > 1000 and len(links - got) <= 0.01 * len(links)
+
+
 # 10: substrings
 
 
@@ -473,6 +510,37 @@ def test_substrings_of_null_and_repeated_ids(spark):
     assert rows == [("1", 25, 0), ("1", 30, 30), ("1", 30, 30), ("2", 25, 25), ("None", 30, 0)]
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_substrings_tell_words_apart(spark):
+    """Words that a polynomial hash modulo a power of two takes for each other."""
+    own = [f"w{i}" for i in range(11)]
+    texts = [" ".join([thue_morse(4096, *ab), *own, *(f"{n}{i}" for i in range(11))]) for n, ab in enumerate(("ab", "ba"))]
+    found = substring.remove_repeats(docs(spark, *texts), window=12, gram=4)
+    assert [(r["n_words"], r["n_removed"]) for r in found.collect()] == [(23, 0), (23, 0)]
+
+
+def test_substring_factors(spark):
+    rng = random.Random(23)
+    long = prose(rng, 80).split()
+    texts = [" ".join(long), " ".join(["x", *long[:50], *long[20:70], "y"])]
+    r = max(substring.remove_repeats(docs(spark, *texts), window=12, gram=4).collect(), key=lambda r: r["doc_id"])
+    assert [tuple(f) for f in r["factors"]] == [(1, 51, 0, 0), (51, 101, 0, 20)] and r["kept"] == "x y"
+
+
+def test_parse_covers_what_copies_cover():
+    rng = random.Random(24)
+    for _ in range(300):
+        copies = [(rng.randrange(60), rng.randrange(1, 8), rng.randrange(3), rng.randrange(90)) for _ in range(rng.randrange(9))]
+        factors = substring.parse(copies, 5)
+        covered = [p for a, b, *_ in factors for p in range(a, b)]
+        assert covered == sorted({p for pos, n, *_ in copies for p in range(pos, pos + n + 4)})
+        for a, b, source, at in factors:
+            assert any(s == source and q - p == at - a and p <= a for p, n, s, q in copies)
+
+
 # the pipeline
 
 
