@@ -6,7 +6,8 @@ that are not empty, so find-first-set on one word of each level gives the next r
 does not search the queue for the pairs it destroys: their entries stay and are skipped as stale
 when they come up. The work is O(n log n) in a pre-token's length (the logarithm from keeping
 the positions of one bucket in order), so a pre-token of a hundred thousand bytes costs no more
-for each byte than a short one.
+for each byte than a short one. Short pre-tokens that are new to a worker share one queue, so that a bucket's
+merges are array operations over many of them.
 """
 
 from __future__ import annotations
@@ -17,19 +18,23 @@ import re
 import struct
 from functools import cache
 from heapq import heappop, heappush
-from itertools import product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Pre-tokens, words and other pieces whose ids a worker remembers: so many met lately, and as many before them.
-#: Only speed depends on it.
-REMEMBERED = {"tokens": 700_000, "words": 300_000, "spans": 50_000}
+#: Pre-tokens, words and other pieces whose ids a worker remembers: so many met lately, and as many before them,
+#: none longer than ``LONGEST`` characters, so that their bytes are bounded as well. Only speed depends on it.
+REMEMBERED = {"tokens": 300_000, "words": 300_000, "spans": 50_000}
+LONGEST = 48
+#: Characters of text whose new pre-tokens are encoded together.
+AT_ONCE = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,102 +49,200 @@ _PACKED = [struct.Struct(f"<{n}I").pack for n in range(33)]
 _BIT = [1 << k for k in range(256)]
 
 
+#: Bits for the right one of two ids that are looked up together.
+_SHIFT = 32
+
+
 class Merges:
-    """A vocabulary's ranks, as the queue needs them."""
+    """A vocabulary's ranks, as the queue needs them; an id is a token's rank."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         get = ranks.get
-        self.first = [get(bytes(pair), -1) for pair in product(range(256), repeat=2)]  # of two bytes
-        self.leaves = [0] * ((max(ranks.values(), default=0) >> 8) + 1)  # all zero between pre-tokens
+        self.single = [get(bytes([b]), -1) for b in range(256)]
+        #: Rank of two adjacent parts joined, by their ids.
+        self.joined: dict[int, int] = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = get(piece[:cut]), get(piece[cut:])
+                if left is not None and right is not None:
+                    self.joined[left << _SHIFT | right] = rank
+        size = max(ranks.values(), default=0) + 1
+        self.no_id = size  # of what lies beyond a pre-token
+        pairs = sorted(((key >> _SHIFT) * (size + 1) + (key & (1 << _SHIFT) - 1), rank) for key, rank in self.joined.items())
+        self.pair_keys, self.pair_ranks = np.array(pairs or [(-1, -1)], np.int64).T.copy()
+        self.leaves = [0] * ((size >> 8) + 1)  # all zero between pre-tokens
+        self.heads = [-1] * size  # all -1 between pre-tokens
+
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each two ids joined, -1 where they don't join."""
+        keys = left * (self.no_id + 1) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+
+def encode_pieces(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """Packed ids of many short pre-tokens by one queue, which holds the positions of all of them.
+
+    A bucket is taken whole, and of each pre-token its first position that isn't stale is merged, for all
+    pre-tokens at once; the others go back, as the merge may have made a pair of a lower rank. So each
+    pre-token's merges come in the order in which ``encode_piece`` makes them.
+    """
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    n, beyond = len(data), merges.no_id
+    ids = np.append(np.array(merges.single, np.int64)[data], beyond)
+    if (ids < 0).any():
+        raise KeyError("a byte that isn't in the vocabulary")
+    owner = np.repeat(np.arange(len(pieces)), lengths)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    ends = np.cumsum(lengths)
+    after[ends - 1] = before[ends - lengths] = after[n] = n
+    pair_rank = np.append(merges.ranks_of(ids[:n], ids[after[:n]]), -1)
+    alive = np.ones(n, bool)
+    leaves, bit = merges.leaves, _BIT
+    top = 0
+    buckets: dict[int, list[np.ndarray]] = {}
+    ranks, at = pair_rank[:n], np.arange(n)
+    while True:
+        at = at[ranks >= 0]
+        ranks = ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for rank, a, b in zip(ranks[cuts[:-1]].tolist() if len(ranks) else (), cuts, cuts[1:]):
+            if rank in buckets:
+                buckets[rank].append(at[a:b])
+            else:
+                buckets[rank] = [at[a:b]]
+                word = rank >> 8
+                leaves[word] |= bit[rank & 255]
+                top |= bit[word]
+        if not top:
+            break
+        word = (top & -top).bit_length() - 1
+        bits = leaves[word]
+        rank = word << 8 | (bits & -bits).bit_length() - 1
+        bucket = buckets.pop(rank)
+        at = bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+        leaves[word] = bits = bits & bits - 1
+        if not bits:
+            top ^= bit[word]
+        at = at[pair_rank[at] == rank]  # the others are stale
+        if len(at) > 1:
+            at = np.sort(at)
+            of = owner[at]
+            again = np.zeros(len(at), bool)
+            np.equal(of[1:], of[:-1], out=again[1:])
+            if again.any():
+                buckets[rank] = [at[again]]
+                leaves[word] |= bit[rank & 255]
+                top |= bit[word]
+                at = at[~again]
+        middle = after[at]
+        end = after[middle]
+        alive[middle] = False
+        pair_rank[middle] = -1
+        ids[at], after[at], before[end] = rank, end, at
+        left = before[at]
+        pair_rank[at] = right_rank = merges.ranks_of(rank, ids[end])
+        pair_rank[left] = left_rank = merges.ranks_of(ids[left], rank)
+        pair_rank[n] = -1
+        ranks, at = np.concatenate([right_rank, left_rank]), np.concatenate([at, left])
+    packed = ids[:n][alive].astype("<u4").tobytes()
+    cuts = [0, *(np.cumsum(np.bincount(owner[alive], minlength=len(pieces))) * 4).tolist()]
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def encode_piece(piece: bytes, merges: Merges) -> list[int]:
     """Ids of one pre-token. Raises KeyError when the vocabulary lacks a byte of it.
 
-    The queue is written out in place, as calls would take most of the time of a short pre-token.
+    A bucket is its only position, or -2 where several are in a heap of ``several``. The queue is
+    written out in place, as calls would take most of the time of a short pre-token.
     """
-    ranks, leaves, first, bit = merges.ranks, merges.leaves, merges.first, _BIT
-    get = ranks.get
-    whole = get(piece)
+    whole = merges.ranks.get(piece)
     if whole is not None:
         return [whole]
+    leaves, heads, bit, get = merges.leaves, merges.heads, _BIT, merges.joined.get
+    single = merges.single
+    ids = [single[b] for b in piece]  # of the part that begins at a position
+    if -1 in ids:
+        raise KeyError(piece)
     n = len(piece)
     top = 0  # the upper level: which words of ``leaves`` aren't zero
-    buckets: dict[int, list[int]] = {}  # positions by rank, each a heap
-    ends = list(range(1, n + 1))  # a part begins at its position and ends here
+    several: dict[int, list[int]] = {}
+    after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    pair_rank = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]  # of the pair that begins at a position
-    pair_rank.append(-1)
-    live = i = 0  # live: pairs that can be merged; what else the queue holds is stale
+    pair_rank = [get(a << _SHIFT | b, -1) for a, b in zip(ids, ids[1:])]  # of the pair that begins at a position
+    i = 0
     for rank in pair_rank:
         if rank >= 0:
-            live += 1
-            if rank in buckets:
-                buckets[rank].append(i)  # positions come in order: a heap
-            else:
-                buckets[rank] = [i]
+            head = heads[rank]
+            if head == -1:
+                heads[rank] = i
                 word = rank >> 8
                 leaves[word] |= bit[rank & 255]
                 top |= bit[word]
+            elif head == -2:
+                several[rank].append(i)  # positions come in order: a heap
+            else:
+                heads[rank] = -2
+                several[rank] = [head, i]
         i += 1
-    while live:
+    pair_rank.append(-1)
+    while top:
         word = (top & -top).bit_length() - 1
         bits = leaves[word]
-        rank = word << 8 | (bits & -bits).bit_length() - 1
-        bucket = buckets[rank]
-        if len(bucket) > 1:
+        lowest = bits & -bits
+        rank = word << 8 | lowest.bit_length() - 1
+        i = heads[rank]
+        if i == -2:
+            bucket = several[rank]
             i = heappop(bucket)
+            if len(bucket) == 1:
+                heads[rank] = bucket[0]
+                del several[rank]
         else:
-            i = bucket[0]
-            del buckets[rank]
-            leaves[word] = bits = bits & bits - 1
+            heads[rank] = -1
+            leaves[word] = bits = bits ^ lowest
             if not bits:
-                top &= top - 1
+                top ^= bit[word]
         if pair_rank[i] != rank:
             continue  # stale: the pair was merged away or has grown since
-        middle = ends[i]
-        end = ends[i] = ends[middle]
-        live -= 1
-        if pair_rank[middle] >= 0:
-            pair_rank[middle] = -1
-            live -= 1
-        rank = -1
+        middle = after[i]
+        end = after[i] = after[middle]
+        ids[i] = rank
+        pair_rank[middle] = pair_rank[i] = -1
+        grown = []
         if end < n:
             before[end] = i
-            rank = get(piece[i : ends[end]], -1)
-        pair_rank[i] = rank
-        if rank >= 0:
-            live += 1
-            if rank in buckets:
-                heappush(buckets[rank], i)
-            else:
-                buckets[rank] = [i]
-                word = rank >> 8
-                leaves[word] |= bit[rank & 255]
-                top |= bit[word]
+            new = get(rank << _SHIFT | ids[end], -1)
+            if new >= 0:
+                pair_rank[i] = new
+                grown.append((new, i))
         left = before[i]
         if left >= 0:
-            rank = get(piece[left:end], -1)
-            if pair_rank[left] >= 0:
-                live -= 1
-            pair_rank[left] = rank
-            if rank >= 0:
-                live += 1
-                if rank in buckets:
-                    heappush(buckets[rank], left)
-                else:
-                    buckets[rank] = [left]
-                    word = rank >> 8
-                    leaves[word] |= bit[rank & 255]
-                    top |= bit[word]
-    for rank in buckets:
-        leaves[rank >> 8] = 0
-    ids, i = [], 0
+            new = pair_rank[left] = get(ids[left] << _SHIFT | rank, -1)
+            if new >= 0:
+                grown.append((new, left))
+        for new, at in grown:
+            head = heads[new]
+            if head == -1:
+                heads[new] = at
+                word = new >> 8
+                leaves[word] |= bit[new & 255]
+                top |= bit[word]
+            elif head == -2:
+                heappush(several[new], at)
+            else:
+                heads[new] = -2
+                several[new] = [head, at] if head < at else [at, head]
+    out, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : ends[i]]])
-        i = ends[i]
-    return ids
+        out.append(ids[i])
+        i = after[i]
+    return out
 
 
 class _Remembered(dict):
@@ -152,9 +255,15 @@ class _Remembered(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONGEST:
+            self[key] = value
         return value
 
+    def new(self, keys) -> list[str]:
+        """Those of the distinct ``keys`` that would be remembered but aren't yet."""
+        older = self.older
+        return [k for k in keys if k not in self and k not in older and len(k) <= LONGEST]
+
     def age(self) -> None:
         """Called between documents: what isn't asked for in a whole generation is forgotten."""
         if len(self) > self.most:
@@ -181,10 +290,11 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.tokens = _Remembered(self._token, REMEMBERED["tokens"])
         self.spans = _Remembered(self._span, REMEMBERED["spans"])
-        self.words = _Remembered(lambda word: self._span(" " + word), REMEMBERED["words"])
-        self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.words = _Remembered(lambda word: self._span(" " + word), REMEMBERED["words"])  # each after a space
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
-            self.pieces[rank] = piece
+            pieces[rank] = piece
+        self.pieces = pa.array(pieces, pa.large_binary())
 
     def _token(self, token: str) -> bytes:
         ids = encode_piece(token.encode("utf-8", "surrogatepass"), self.merges)
@@ -193,18 +303,70 @@ class Codec:
     def _span(self, span: str) -> bytes:
         return b"".join(map(self.tokens.__getitem__, self.find(span)))
 
+    def learn(self, words: list[str]) -> None:
+        """Remember the new ones of distinct ``words``, each with a space before it; short pre-tokens are encoded together."""
+        cut = {x: self.find(" " + x) for x in self.words.new(words)}
+        new = self.tokens.new(set(chain.from_iterable(cut.values())))
+        pieces = [t.encode("utf-8", "surrogatepass") for t in new]
+        self.tokens.update(zip(new, encode_pieces(pieces, self.merges)))
+        token = self.tokens.__getitem__
+        self.words.update((x, b"".join(map(token, tokens))) for x, tokens in cut.items())
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of texts whose every space is a seam: different words are looked up once."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        pieces, starts = parts.flatten(), parts.offsets.to_numpy()
+        after_space = np.ones(len(pieces), bool)
+        after_space[starts[:-1]] = False
+        words = pieces.filter(pa.array(after_space)).dictionary_encode()
+        unique = words.dictionary.to_pylist()
+        self.learn(unique)
+        ids = pa.array([self.words[w] for w in unique], pa.large_binary()).take(words.indices)
+        edges, data = _bytes_of(ids)
+        edges = edges[np.concatenate([[0], np.cumsum(np.diff(starts) - 1)])].tolist()
+        first = pieces.take(pa.array(starts[:-1])).to_pylist()
+        return [self.spans[x] + data[a:b] for x, a, b in zip(first, edges, edges[1:])]
+
+    def encode_all(self, texts: list[str]):
+        """The packed ids of each text."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and size < AT_ONCE:
+                size += len(texts[to])
+                to += 1
+            plain = [self.seams and not _NO_SEAM.search(t) for t in texts[at:to]]
+            split = iter(self._split([t for t, p in zip(texts[at:to], plain) if p]) if any(plain) else ())
+            for text, p in zip(texts[at:to], plain):
+                yield next(split) if p else self.encode(text)
+            for known in (self.tokens, self.spans, self.words):
+                known.age()
+            at = to
+
     def encode(self, text: str) -> bytes:
         for known in (self.tokens, self.spans, self.words):
             known.age()
-        if not self.seams:
-            return self._span(text)
-        if _NO_SEAM.search(text):
-            return b"".join(map(self.spans.__getitem__, _SEAM.split(text)))
-        first, *words = text.split(" ")
-        return self.spans[first] + b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.spans.__getitem__, _SEAM.split(text) if self.seams else [text]))
+
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each of a large binary array's packed ids."""
+        edges, data = _bytes_of(ids)
+        decoded, data = _bytes_of(self.pieces.take(pa.array(np.frombuffer(data, "<u4"))))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(decoded[edges // 4].tobytes()), pa.py_buffer(data)])
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all(pa.array([ids], pa.large_binary()))[0].as_py()
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where the values of a large binary array without nulls begin and end, and their bytes."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    if not len(values):
+        return np.zeros(1, np.int64), memoryview(b"")
+    _, offsets, data = values.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    return offsets - offsets[0], memoryview(data or b"")[offsets[0] : offsets[-1]]
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -240,7 +402,7 @@ def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: s
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern, (digest, pattern))
-        return pa.array([codec.encode(t.as_py() or "") for t in texts], pa.binary())
+        return pa.array(codec.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
 
     return encode(text)
 
@@ -254,7 +416,7 @@ def decode_column(spark: SparkSession, ids: Column, ranks_path: str, pattern: st
     @F.arrow_udf("binary")
     def decode(column: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern, (digest, pattern))
-        return pa.array([codec.decode(x.as_py() or b"") for x in column], pa.binary())
+        return codec.decode_all(column.cast(pa.large_binary()).fill_null(b"")).cast(pa.binary())
 
     return decode(ids)
 
