@@ -31,6 +31,8 @@ KINDS = BASE + ADDED
 WIDTH, STRIDE = 96, 48
 #: Documents of which the labelled spans are taken, and windows that the network is fitted to.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2_000, 2_000
+#: Characters of the longest text that the sample takes, which bounds what the driver holds of it.
+SAMPLE_CHARS = 20_000
 
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -359,11 +361,12 @@ def labelled_windows(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 0
 def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Tagger:
     """A tagger from the ``sample_docs`` documents with a digit or at sign whose texts have the smallest hashes.
 
+    Texts of over ``SAMPLE_CHARS`` characters aren't in the sample; decoding takes all texts whole.
     Without such a document the tagger is untrained and adds nothing.
     """
     text = F.col(text_col)
     some = docs.select(text.alias("text")).where(text.rlike("@[A-Za-z0-9-]+[.]|[0-9]{4}|[0-9][.][0-9]+[.]"))
-    some = some.where(F.length("text") <= 20_000).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample_docs)
+    some = some.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample_docs)
     windows = labelled_windows([r["text"] for r in some.select("text").toLocalIterator()])
     return train(windows) if windows else Tagger([])
 
@@ -380,10 +383,26 @@ def _windows(text: str) -> list[int]:
     return sorted(found)
 
 
+def _joined(parts: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int, int]]:
+    """Parts that windows cut off at their ends, each joined with those of its kind that it overlaps or touches."""
+    out: list[tuple[float, int, int, int]] = []
+    for score, a, kind, b in sorted(parts, key=lambda p: (p[2], p[1], p[3])):
+        if out and out[-1][2] == kind and a <= out[-1][3]:
+            out[-1] = (out[-1][0] + score, out[-1][1], kind, max(b, out[-1][3]))
+        else:
+            out.append((score, a, kind, b))
+    return out
+
+
 def _proposals(texts: list[str], tagger: Tagger) -> list[list[tuple[float, int, int, int]]]:
-    """(score, start, kind, end) of added kinds that any window of a text proposes."""
+    """(score, start, kind, end) of added kinds that any window of a text proposes.
+
+    What a window cuts off is joined with what the next one proposes there, so a span may be longer
+    than a window.
+    """
     places = [(i, a) for i, text in enumerate(texts) for a in _windows(text)]
     out: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    parts: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
     for k in range(0, len(places), 512):
         part = places[k : k + 512]
         chars = np.full((len(part), WIDTH), _SYMBOL[" "], np.int16)
@@ -407,9 +426,9 @@ def _proposals(texts: list[str], tagger: Tagger) -> list[list[tuple[float, int,
                 cut = (at == 0 and a > 0) or (end == WIDTH and a + WIDTH < len(text))
                 # One that the window cuts yields to a whole one.
                 score = float(margin[at:end].sum()) * (0.25 if cut else 1)
-                out[i].append((score, a + at, int(kinds[at]), a + end))
+                (parts if cut else out)[i].append((score, a + at, int(kinds[at]), a + end))
                 at = end
-    return out
+    return [own + _joined(cut) for own, cut in zip(out, parts)]
 
 
 def _reconciled(proposed: list[tuple[float, int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -435,12 +454,34 @@ def _reconciled(proposed: list[tuple[float, int, int, int]], base: list[tuple[in
     return out[::-1]
 
 
+#: What a number may look like: groups of digits, in an account number after two letters.
+_NUMBER = re.compile(r"(?:[A-Z]{2}(?=[0-9]{2}))?[0-9() ./+-]+")
+#: Digits that tell a day or a time, whatever follows.
+_STAMP = re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9-])|[0-9]{1,2}([/.])[0-9]{1,2}\2[0-9]{4}(?![0-9-])")
+#: An account number's further groups.
+_GROUPS = re.compile(r"(?: ?[0-9]{1,4})*(?![0-9])")
+
+
 def _worth(text: str, kind: int) -> bool:
     """What a span of an added kind has by definition."""
-    digits = sum(c.isdigit() for c in text)
     if kind == len(BASE):
         return bool(re.search(rf"@|{_AT}", text)) and ("." in text or "dot" in text.lower()) and len(text) >= 8
-    return 7 <= digits <= 34
+    return 7 <= sum(c.isdigit() for c in text) <= 34 and bool(_NUMBER.fullmatch(text)) and not _STAMP.match(text)
+
+
+def _whole(text: str, a: int, kind: int, b: int) -> tuple[int, int, int]:
+    """A proposal without punctuation around it, and with the whole of the words and numbers that it begins or ends in."""
+    while a < b and text[a] in " \n,;:.":
+        a += 1
+    while b > a and text[b - 1] in " \n,;:.":
+        b -= 1
+    while a < b and 0 < a and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while a < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    if kind > len(BASE) and text[a : a + 2].isalpha():
+        b = _GROUPS.match(text, b).end()
+    return a, kind, b
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
@@ -451,21 +492,13 @@ def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     for text, own, more in zip(texts, base, proposed):
         near = []
         if more:
-            more = [(s, a, k, b) for s, a, k, b in ((s, *_trimmed(text, a, k, b)) for s, a, k, b in more) if _worth(text[a:b], k)]
+            more = [(s, a, k, b) for s, a, k, b in ((s, *_whole(text, a, k, b)) for s, a, k, b in more) if _worth(text[a:b], k)]
             low, high = min((m[1] for m in more), default=0), max((m[3] for m in more), default=0)
             near = _reconciled(more, [s for s in own if s[0] < high and s[2] > low])
         out.append((own, sorted(own + near)))
     return out
 
 
-def _trimmed(text: str, a: int, kind: int, b: int) -> tuple[int, int, int]:
-    while a < b and text[a] in " \n,;:.":
-        a += 1
-    while b > a and text[b - 1] in " \n,;:.":
-        b -= 1
-    return a, kind, b
-
-
 def spans_column(spark: SparkSession, text: Column, tagger: Tagger) -> Column:
     """A struct of ``base`` and ``spans``: arrays of (start, kind, end), code points of the whole text, end exclusive."""
     common.importable_on_workers(spark)
