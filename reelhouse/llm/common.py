@@ -43,6 +43,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = sc.getConf().get("spark.checkpoint.dir")
+        if configured is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     before = spark.conf.get(_TIDY, "false")
     spark.conf.set(_TIDY, "true")
