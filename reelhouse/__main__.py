@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -22,6 +22,12 @@ def arguments() -> argparse.ArgumentParser:
     return parser
 
 
+def listed(rows: DataFrame) -> None:
+    """Print all rows, of which no more than a partition's are held at a time."""
+    for row in rows.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def main(argv: list[str] | None = None) -> None:
     from .plans.library import Library
 
@@ -36,11 +42,11 @@ def main(argv: list[str] | None = None) -> None:
         rows = library.review()
         print("nothing waits for review" if rows is None else f"{rows.count()} files written to decisions.csv")
     elif args.command == "apply" and args.dry_run:
-        library.routed(args.out, args.decisions).select("action", "source_path", "dest_path").show(1000, truncate=False)
+        listed(library.routed(args.out, args.decisions).select("action", "source_path", "dest_path"))
     elif args.command == "apply":
         library.apply(args.out, args.decisions).show()
     else:
-        library.status().show(1000, truncate=False)
+        listed(library.status())
 
 
 if __name__ == "__main__":

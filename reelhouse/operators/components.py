@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: the cluster's, or on one machine without one a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -22,31 +26,50 @@ def _block(h: Column, first: int, n: int) -> Column:
     return h if n == 64 else F.shiftrightunsigned(h, first).bitwiseAND((1 << n) - 1)
 
 
-def hamming_links(hashes: DataFrame, radius: int, column: str = "h") -> DataFrame:
+def _keys(radius: int) -> list[list[tuple[int, int]]]:
+    """The keys of a hash, each some blocks (first bit, bits): hashes within the radius agree in one key at least.
+
+    Of n blocks, n - radius agree, whichever bits differ. Up to a radius of 8 a key has two blocks
+    (21 keys of 18 bits for 5), beyond that one.
+    """
+    together = 2 if radius <= 8 else 1
+    n = radius + together
+    cuts = [64 * i // n for i in range(n + 1)]
+    spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
+    return [list(key) for key in combinations(spans, together)]
+
+
+def hamming_links(hashes: DataFrame, radius: int, column: str = "h", parts: int = 8) -> DataFrame:
     """(a, b, distance), a < b: pairs of different hashes at most ``radius`` bits apart.
 
-    Hashes that are equal are one. 64 bits are cut into radius + 1 blocks; two hashes within the
-    radius agree in one of them at least, so an equi-join on (block, its bits) finds every pair. A
-    pair is reported in the first block in which it agrees, so none comes twice and nothing has
-    to be made distinct. With blocks of under 4 bits (radius over 15) they no longer tell hashes
-    apart, and all pairs are compared.
+    Hashes that are equal are one. An equi-join on the keys of ``_keys`` finds every pair; a pair is
+    reported by the first key in which it agrees, so none comes twice and nothing has to be made
+    distinct. Each key's rows on the one side are dealt to ``parts`` tasks, and meet the other side's
+    in all of them, so a hot key is no one task's work. The number of comparisons is that of pairs
+    which agree in a key: for n evenly spread hashes about n * n * 21 / 2**19 at a radius of 5, but n * n / 2 at 15,
+    as keys of four bits hardly tell hashes apart. No exact method is known to do much better there.
     """
     h = hashes.select(F.col(column).alias("h")).where(F.col(column).isNotNull()).distinct()
     distance = hamming(F.col("a"), F.col("b"))
-    if radius > 15:
-        left, right = h.select(F.col("h").alias("a")), h.select(F.col("h").alias("b"))
-        return left.join(right, (F.col("a") < F.col("b")) & (distance <= radius)).select("a", "b", distance.alias("distance"))
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(radius + 1)]
-    keys = F.array(*(F.struct(F.lit(i).alias("i"), _block(F.col("h"), *s).alias("bits")) for i, s in enumerate(spans)))
-    keyed = h.select("h", F.explode(keys).alias("k")).select("h", "k.i", "k.bits")
-    left = keyed.select(F.col("h").alias("a"), "i", "bits")
-    right = keyed.select(F.col("h").alias("b"), F.col("i").alias("j"), F.col("bits").alias("same"))
-    first = F.lit(0)
-    for i, s in reversed(list(enumerate(spans))):
-        first = F.when(_block(F.col("a").bitwiseXOR(F.col("b")), *s) == 0, i).otherwise(first)
-    pair = (F.col("i") == F.col("j")) & (F.col("bits") == F.col("same")) & (F.col("a") < F.col("b"))
-    return left.join(right, pair & (distance <= radius) & (F.col("i") == first)).select("a", "b", distance.alias("distance"))
+    keys = _keys(radius)
+
+    def bits(key: list[tuple[int, int]]) -> Column:
+        found = F.lit(0).cast("long")
+        for first, n in key:
+            found = F.shiftleft(found, n).bitwiseOR(_block(F.col("h"), first, n)) if n < 64 else F.col("h")
+        return found
+
+    listed = F.array(*(F.struct(F.lit(i).alias("i"), bits(key).alias("bits")) for i, key in enumerate(keys)))
+    keyed = h.select("h", F.explode(listed).alias("k")).select("h", "k.i", "k.bits")
+    left = keyed.select(F.col("h").alias("a"), "i", "bits", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int").alias("part"))
+    right = keyed.select(F.col("h").alias("b"), F.col("i").alias("j"), F.col("bits").alias("same"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("dealt"))
+    first = F.lit(-1)
+    for i, key in reversed(list(enumerate(keys))):
+        mask = sum(((1 << n) - 1) << at for at, n in key)
+        first = F.when(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(mask - 2**64 if mask >= 2**63 else mask) == 0, i).otherwise(first)
+    met = (F.col("i") == F.col("j")) & (F.col("bits") == F.col("same")) & (F.col("part") == F.col("dealt"))
+    pair = met & (F.col("a") < F.col("b")) & (distance <= radius) & (F.col("i") == first)
+    return left.join(right, pair).select("a", "b", distance.alias("distance"))
 
 
 def components(links: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .grouping import companion_key
+
 
 def status(manifest: DataFrame) -> DataFrame:
     """(facet, value, n): rows by status, by role and by the source of their date, in one pass over the rows."""
@@ -20,11 +22,12 @@ def status(manifest: DataFrame) -> DataFrame:
 
 
 def plan_counts(planned: DataFrame) -> DataFrame:
-    """Exact copies (files), and pairs of raw and image, bursts and review groups (groups)."""
+    """Exact copies (files), pairs of raw and image, and bursts and review groups (groups)."""
     role = F.col("role")
     return planned.agg(
         F.count_if(role == "exact_dupe").alias("exact_dupes"),
-        F.count_distinct(F.when(role == "raw_jpeg_pair", F.col("group_id"))).alias("raw_pairs"),
+        # Of a pair, a file with copies has the copies' group.
+        F.count_distinct(F.when(role == "raw_jpeg_pair", companion_key())).alias("raw_pairs"),
         F.count_distinct(F.when(role == "burst", F.col("group_id"))).alias("bursts"),
         F.count_distinct(F.when(role == "review", F.col("group_id"))).alias("review_groups"),
     )

@@ -16,6 +16,7 @@ from .config import Config
 from .functions import dates, text
 from .operators import components as graph
 from .operators import grouping, incremental, outcome, review, summary
+from .operators.numbering import numbered
 from .plans.plan import plan
 from .sources.files import blake2b_column
 
@@ -272,29 +273,30 @@ def sign_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), folded.alias("h"))
 
 
-_HASHES_SQL = """hashes AS (
+_SIGNS_SQL = """hashes AS (
   SELECT vec_id AS id, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1)
     ELSE 0 END)) AS BIGINT) + CASE WHEN embedding[64] > 0 THEN (-9223372036854775807 - 1)::BIGINT ELSE 0 END AS h
   FROM embeddings
-), nodes AS (SELECT DISTINCT h FROM hashes), edges AS (
+)"""
+_HASHES_SQL = f"""{_SIGNS_SQL}, nodes AS (SELECT DISTINCT h FROM hashes), edges AS (
   SELECT x.h AS a, y.h AS b, CAST(bit_count(xor(x.h, y.h)) AS INT) AS distance FROM nodes x JOIN nodes y ON x.h < y.h
-  WHERE bit_count(xor(x.h, y.h)) <= %d
+  WHERE bit_count(xor(x.h, y.h)) <= {{radius}}
 )"""
 
 
-@_query("hamming_edges", f"WITH {_HASHES_SQL % RADIUS} SELECT * FROM edges")
+@_query("hamming_edges", f"WITH {_HASHES_SQL.format(radius=RADIUS)} SELECT * FROM edges")
 def hamming_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hamming_links(sign_hashes(spark, sf_dir), RADIUS)
 
 
-@_query("hamming_edges_wide", f"WITH {_HASHES_SQL % WIDE} SELECT * FROM edges")
+@_query("hamming_edges_wide", f"WITH {_HASHES_SQL.format(radius=WIDE)} SELECT * FROM edges")
 def hamming_edges_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hamming_links(sign_hashes(spark, sf_dir), WIDE)
 
 
 @_query(
     "near_dup_components",
-    f"""WITH RECURSIVE {_HASHES_SQL % WIDE}, ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), reach AS (
+    f"""WITH RECURSIVE {_HASHES_SQL.format(radius=WIDE)}, ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges), reach AS (
       SELECT h AS node, h AS root FROM nodes UNION SELECT ways.b, root FROM reach JOIN ways ON ways.a = node)
     SELECT node, min(root) AS component FROM reach GROUP BY node""",
 )
@@ -530,7 +532,26 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("id", F.array_join("keywords", ";").alias("keywords"), "description")
 
 
-@_query("xmp_sidecar")
+def _escaped_sql(value: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        value = f"replace({value}, '{char}', '{entity}')"
+    return value
+
+
+@_query(
+    "xmp_sidecar",
+    f"""{_PROVENANCE_SQL} SELECT id, '<?xpacket begin="' || chr(65279) || '" id="W5M0MpCehiHzreSzNTczkc9d"?>
+<x:xmpmeta xmlns:x="adobe:ns:meta/">
+ <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">
+  <rdf:Description xmlns:dc="http://purl.org/dc/elements/1.1/">
+   <dc:description><rdf:Alt><rdf:li xml:lang="x-default">' || {_escaped_sql("description")} || '</rdf:li></rdf:Alt></dc:description>
+   <dc:subject><rdf:Bag>' || array_to_string(list_transform(words, lambda w: '<rdf:li>' || {_escaped_sql("w")} || '</rdf:li>'), '')
+      || '</rdf:Bag></dc:subject>
+  </rdf:Description>
+ </rdf:RDF>
+</x:xmpmeta>
+<?xpacket end="w"?>' AS xmp FROM told""",
+)
 def xmp_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, routed = _routed(spark, sf_dir)
     told = outcome.provenance(routed.where("action = 'copy'"), files, CFG)
@@ -543,10 +564,151 @@ def blake2_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", blake2b_column("text").alias("content_hash"))
 
 
-@_query("library_plan")
+#: A plan in SQL; the dates come last, as a live pair's video takes its image's.
+_PLAN_SQL = f"""{_PAIRS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {_SIGNS_SQL}, images AS (
+  SELECT r.id, h FROM ranked r JOIN hashes s ON r.id = s.id WHERE nth = 1 AND kind = 'image'
+), nodes AS (SELECT DISTINCT h FROM images), ways AS (
+  SELECT x.h AS a, y.h AS b FROM nodes x JOIN nodes y ON x.h <> y.h WHERE bit_count(xor(x.h, y.h)) <= {WIDE}
+), reach AS (
+  SELECT h AS node, h AS root FROM nodes UNION SELECT ways.b, root FROM reach JOIN ways ON ways.a = node
+), lookalike AS (
+  SELECT id, component FROM images JOIN (SELECT node, min(root) AS component FROM reach GROUP BY node) ON node = h
+  WHERE id NOT IN (SELECT id FROM pairs)
+), timed AS (
+  SELECT component, s.id, camera, try_cast(regexp_replace(exif_date, '(\\d+):(\\d+):(\\d+) (.*)', '\\1-\\2-\\3 \\4') AS TIMESTAMP) AS t
+  FROM lookalike s JOIN ranked r ON r.id = s.id
+), gaps AS (
+  SELECT *, date_diff('second', lag(t) OVER (PARTITION BY component ORDER BY t), t) AS gap FROM timed
+), judged AS (
+  SELECT component, CASE WHEN count(t) = count(*) AND count(camera) = count(*) AND count(DISTINCT camera) = 1 AND max(gap) <= 10
+    THEN 'burst' ELSE 'review' END AS verdict FROM gaps GROUP BY component HAVING count(*) >= 2
+), told AS (
+  SELECT r.* REPLACE (CASE WHEN p.pair = 'live' AND r.kind = 'video' AND coalesce(r.exif_date, '') = '' THEN p.image_exif
+      ELSE r.exif_date END AS exif_date), p.pair_key, s.component,
+    CASE WHEN verdict IS NOT NULL THEN verdict WHEN p.pair = 'raw' THEN 'raw_jpeg_pair' WHEN p.pair = 'live' AND r.kind = 'video'
+      THEN 'live_pair' WHEN nth = 1 THEN 'keep' ELSE 'exact_dupe' END AS role
+  FROM ranked r LEFT JOIN pairs p ON p.id = r.id LEFT JOIN lookalike s ON s.id = r.id LEFT JOIN judged j ON j.component = s.component
+), {_DATES_SQL.replace("FROM manifest", "FROM told")}"""
+
+
+@_query(
+    "library_plan",
+    f"""{_PLAN_SQL} SELECT id, role, CASE WHEN nth > 1 THEN keeper_id END AS dupe_of,
+      CASE WHEN status = 'copied' THEN 'copied' WHEN role = 'review' THEN 'review' ELSE 'planned' END AS status,
+      {_ISO.format(t="t")} AS date_taken, date_source,
+      CASE date_source WHEN 'exif' THEN 'high' WHEN 'filename' THEN 'medium' WHEN 'none' THEN 'none' ELSE 'low' END AS date_confidence,
+      exif_date FROM dated""",
+)
 def library_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole plan of the derived manifest, with perceptual hashes where there are embeddings."""
+    planned = _planned(spark, sf_dir)
+    return planned.select("id", "role", "dupe_of", "status", "date_taken", "date_source", "date_confidence", "exif_date")
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = sign_hashes(spark, sf_dir).select("id", F.lpad(F.lower(F.hex("h")), 16, "0").alias("_ph"))
     files = manifest(spark, sf_dir).join(hashes, "id", "left").withColumn("phash", F.col("_ph")).drop("_ph")
     cfg = Config(max_year=2030, near_dupe_threshold=WIDE)
-    return plan(files, cfg).select("id", "role", "dupe_of", "status", "date_taken", "date_source", "date_confidence", "exif_date")
+    return plan(files, cfg)
+
+
+@_query(
+    "plan_counts",
+    f"""{_PLAN_SQL} SELECT count(*) FILTER (WHERE role = 'exact_dupe') AS exact_dupes,
+      count(DISTINCT pair_key) FILTER (WHERE role = 'raw_jpeg_pair') AS raw_pairs,
+      count(DISTINCT component) FILTER (WHERE role = 'burst') AS bursts,
+      count(DISTINCT component) FILTER (WHERE role = 'review') AS review_groups FROM told""",
+)
+def plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.plan_counts(_planned(spark, sf_dir))
+
+
+@_query("group_numbers", _PAIRS_SQL + " SELECT pair_key, 7 + row_number() OVER (ORDER BY pair_key) AS number FROM (SELECT DISTINCT pair_key FROM pairs)")
+def group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(companion_groups(spark, sf_dir).select("pair_key").distinct(), "pair_key", "number", 7)
+
+
+@_query(
+    "metadata_upsert",
+    f"""WITH {MANIFEST_SQL}, read AS (
+      SELECT id, CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '2016:01:02 03:04:05' END AS a,
+        CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN '2017:01:02 03:04:05' END AS b, '2018:01:02 03:04:05' AS c FROM manifest WHERE id % 6 < 5)
+    SELECT m.id, CASE WHEN r.id IS NULL THEN exif_date ELSE coalesce(nullif(a, ''), nullif(b, ''), c) END AS exif_date,
+      CASE WHEN r.id IS NULL THEN camera ELSE 'M' || (m.id % 3) END AS camera,
+      CASE WHEN r.id IS NULL THEN width ELSE m.id % 5000 END AS width, CASE WHEN r.id IS NULL THEN height END AS height
+    FROM manifest m LEFT JOIN read r ON r.id = m.id""",
+)
+def metadata_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = manifest(spark, sf_dir)
+    records = files.where("id % 6 < 5").select(
+        "source_path",
+        F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE '2016:01:02 03:04:05' END").alias("DateTimeOriginal"),
+        F.expr("CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN '2017:01:02 03:04:05' END").alias("CreateDate"),
+        F.lit("2018:01:02 03:04:05").alias("MediaCreateDate"),
+        F.expr("concat('M', id % 3)").alias("Model"),
+        F.expr("CAST(id % 5000 AS STRING)").alias("ImageWidth"),
+        F.lit(None).cast("string").alias("ImageHeight"),
+    )
+    merged = incremental.with_metadata(files, records)
+    return merged.select("id", "exif_date", "camera", F.col("width").cast("long"), F.col("height").cast("long"))
+
+
+@_query(
+    "decision_overlay",
+    """WITH saved AS (
+      SELECT doc_id AS file_id, doc_id // 4 AS group_id, CASE quality WHEN 1 THEN 'KEEP' ELSE 'maybe' END AS decision FROM labels
+    ), unsaved AS (
+      SELECT event_id AS file_id, CASE event_type WHEN 'click' THEN 'keep' WHEN 'view' THEN 'Skip' ELSE '' END AS decision FROM events WHERE event_id % 2 = 0)
+    SELECT group_id, s.file_id, CASE WHEN u.file_id IS NOT NULL THEN lower(u.decision) WHEN s.decision = 'KEEP' THEN 'keep' ELSE '' END AS decision
+    FROM saved s LEFT JOIN unsaved u ON s.file_id = u.file_id""",
+)
+def decision_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    saved = labels.select(F.col("doc_id").alias("file_id"), F.expr("doc_id div 4").alias("group_id"), F.expr("IF(quality = 1, 'KEEP', 'maybe')").alias("decision"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 2 = 0")
+    decision = F.expr("CASE event_type WHEN 'click' THEN 'keep' WHEN 'view' THEN 'Skip' ELSE '' END")
+    return review.overlay(saved, events.select(F.col("event_id").alias("file_id"), decision.alias("decision")))
+
+
+@_query(
+    "embed_arguments",
+    _PROVENANCE_SQL
+    + """ SELECT id, concat_ws(chr(10), '-overwrite_original', '-XMP-dc:Description=' || description,
+      array_to_string(list_transform(words, lambda w: '-XMP-dc:Subject=' || w), chr(10)), '/lib/' || id, '-execute') AS arguments FROM told""",
+)
+def embed_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, routed = _routed(spark, sf_dir)
+    told = outcome.provenance(routed.where("action = 'copy'"), files, CFG)
+    dest = F.concat(F.lit("/lib/"), F.col("id").cast("string"))
+    return told.select("id", F.array_join(outcome.embed_arguments(dest, F.col("description"), F.col("keywords")), "\n").alias("arguments"))
+
+
+@_query(
+    "display_labels",
+    f"""WITH {MANIFEST_SQL} SELECT id, 'file://' || replace(url_encode(source_path), '%2F', '/') AS uri,
+      CASE WHEN size * 997 >= 1048576 THEN printf('%.1f MB', size * 997 / 1048576) ELSE CAST(CAST(round(size * 997 / 1024) AS BIGINT) AS VARCHAR) || ' KB' END AS size,
+      CASE WHEN width > 0 AND height > 0 THEN printf('%.1f MP', CAST(width AS DOUBLE) * height / 1000000) ELSE '? MP' END AS pixels FROM manifest""",
+)
+def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(spark, sf_dir).select(
+        "id",
+        text.file_uri(F.col("source_path")).alias("uri"),
+        text.size_label(F.col("size") * 997).alias("size"),
+        text.megapixel_label(F.col("width"), F.col("height")).alias("pixels"),
+    )
+
+
+@_query(
+    "review_payload_files",
+    _QUEUE_SQL
+    + """ SELECT q.group_id AS gid, CAST(row_number() OVER (PARTITION BY q.group_id ORDER BY size DESC, q.id) - 1 AS INT) AS place, q.id,
+      q.source_path AS path, width AS w, height AS h, size, ext, kind, camera, suggested, best_res AS "bestRes", best_size AS "bestSize",
+      resolution, size_kb, suggestion, decision, merge_from_file_id AS merge
+    FROM queued q JOIN decided d ON d.file_id = q.id""",
+)
+def review_payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queued = _queued(spark, sf_dir)
+    shown = review.payload(queued, review.decision_rows(queued, review.prior_decisions(_prior(spark, sf_dir))))
+    files = shown.select("gid", F.posexplode("files").alias("place", "f"))
+    own = ("id", "path", "w", "h", "size", "ext", "kind", "camera", "suggested", "bestRes", "bestSize", "decision", "merge")
+    return files.select("gid", "place", *(F.col(f"f.{c}").alias(c) for c in own), "f.csv.*")

@@ -23,6 +23,7 @@ def _struct(fields: str) -> T.StructType:
 FILES = _struct(_FIELDS)
 RUNS = _struct("id bigint, started string, command string, args string")
 ACTIONS = _struct("run_id bigint, file_id bigint, action string, detail string, ts string")
+VERSIONS = _struct("version int")
 DECISIONS = _struct(
     "group_id string, file_id string, source_path string, resolution string, size_kb string, suggestion string,"
     " decision string, merge_from_file_id string"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import ACTIONS, FILES, RUNS, SCHEMA_VERSION
+from ..schema import ACTIONS, FILES, RUNS, SCHEMA_VERSION, VERSIONS
 
 
 class Store:
@@ -58,10 +58,19 @@ class Store:
     def actions(self) -> DataFrame:
         return self._appended("actions", ACTIONS)
 
+    def versions(self) -> DataFrame:
+        return self._appended("schema_version", VERSIONS)
+
     def schema_version(self) -> int:
-        return SCHEMA_VERSION
+        """The version of the schema that the state was written with; a state without one gets this library's."""
+        found = self.versions().agg(F.count("*"), F.max("version")).first()
+        if not found[0]:
+            self.spark.createDataFrame([(SCHEMA_VERSION,)], VERSIONS).write.mode("append").parquet(f"{self.path}/schema_version")
+        return found[1] or SCHEMA_VERSION
 
     def new_run(self, command: str, args: dict) -> int:
+        if (version := self.schema_version()) != SCHEMA_VERSION:
+            raise ValueError(f"the state has schema version {version}, this library {SCHEMA_VERSION}")
         number = (self.runs().agg(F.max("id")).first()[0] or 0) + 1
         row = (number, now(), command, json.dumps(args, sort_keys=True))
         self.spark.createDataFrame([row], RUNS).write.mode("append").parquet(f"{self.path}/runs")

@@ -1,7 +1,6 @@
 """Media files: listing trees, fingerprints of contents, and metadata.
 
-Listing happens on the driver, directory by directory; all that opens files runs on executors, in
-partitions of paths, and returns rows. Paths must be readable there (a shared file system).
+All that lists folders or opens files runs on executors, in partitions of folders or paths, and returns rows. Paths must be readable there (a shared file system).
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import os
 import shutil
 import subprocess
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
@@ -29,38 +29,43 @@ _CHUNK = 1 << 20
 _ROWS = 50_000
 
 
-def _walk(root: Path, position: int) -> Iterator[tuple]:
-    """Regular files below ``root`` in order; names that begin with a dot are skipped, folders of such names aren't."""
-    for folder, folders, names in os.walk(root):
+def _below(root: str, position: int, folder: str, deep: bool) -> Iterator[tuple]:
+    """Regular files in ``folder``, and ``deep`` below it, in order; names that begin with a dot are skipped, folders of such names aren't."""
+    for at, folders, names in os.walk(folder):
         folders.sort()
         for name in sorted(names):
-            path = Path(folder, name)
+            path = Path(at, name)
             if name.startswith(".") or not path.is_file():
                 continue
             st = path.stat()
-            yield str(path), str(root), str(path.relative_to(root)), st.st_size, st.st_mtime, position
+            yield str(path), root, str(path.relative_to(root)), st.st_size, st.st_mtime, position
+        if not deep:
+            break
 
 
-def walk(spark: SparkSession, roots: list[str], cfg: Config) -> DataFrame:
-    """Media files below the roots that exist, with ``ext`` and ``kind``; files of other kinds are left out."""
-    frames, rows = [], []
+def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in WALKED.split(", ")]
+    for frame in frames:
+        for job in frame.itertuples(index=False):
+            found = _below(job.root, job.position, job.folder, job.deep)
+            while rows := list(islice(found, _ROWS)):
+                yield pd.DataFrame(rows, columns=columns)
+
 
-    def flush() -> None:
-        if rows:
-            frames.append(spark.createDataFrame(list(rows), WALKED))
-            rows.clear()
+def walk(spark: SparkSession, roots: list[str], cfg: Config) -> DataFrame:
+    """Media files below the roots that exist, with ``ext`` and ``kind``; files of other kinds are left out.
 
+    The driver lists the roots themselves; each folder in them is walked by a task of its own.
+    """
+    jobs = []
     for position, root in enumerate(Path(r).expanduser().resolve() for r in roots):
         if root.exists():
-            for row in _walk(root, position):
-                rows.append(row)
-                if len(rows) >= _ROWS:
-                    flush()
-    flush()
-    found = frames[0] if frames else spark.createDataFrame([], WALKED)
-    for frame in frames[1:]:
-        found = found.unionByName(frame)
-    return classified(found, cfg)
+            jobs.append((str(root), position, str(root), False))
+            jobs += ((str(root), position, str(c), True) for c in sorted(root.iterdir()) if c.is_dir() and not c.is_symlink())
+    if not jobs:
+        return classified(spark.createDataFrame([], WALKED), cfg)
+    folders = spark.createDataFrame(jobs, "root string, position int, folder string, deep boolean").repartition(len(jobs))
+    return classified(folders.mapInPandas(_listed, WALKED), cfg)
 
 
 def classified(files: DataFrame, cfg: Config) -> DataFrame:
