@@ -31,10 +31,10 @@ from . import common
 
 #: Pre-tokens, words and other pieces whose ids a worker remembers: so many met lately, and as many before them,
 #: none longer than ``LONGEST`` characters, so that their bytes are bounded as well. Only speed depends on it.
-REMEMBERED = {"tokens": 300_000, "words": 300_000, "spans": 50_000}
+REMEMBERED = {"tokens": 150_000, "words": 150_000, "spans": 20_000}
 LONGEST = 48
 #: Characters of text whose new pre-tokens are encoded together.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -402,7 +402,11 @@ def encode_column(spark: SparkSession, text: Column, ranks_path: str, pattern: s
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         codec = _codec(ranks, pattern, (digest, pattern))
-        return pa.array(codec.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
+        # Only so many texts are Python's at a time.
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+        cuts = [0, *(np.flatnonzero(np.diff(sizes // AT_ONCE)) + 1).tolist(), len(texts)]
+        parts = (texts.slice(a, b - a).to_pylist() for a, b in zip(cuts, cuts[1:]))
+        return pa.concat_arrays([pa.array(codec.encode_all([t or "" for t in part]), pa.binary()) for part in parts])
 
     return encode(text)
 
