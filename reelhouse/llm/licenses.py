@@ -117,7 +117,8 @@ def scan(
     least = min(len(grams) for _, grams in known) * dice / (2 - dice)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     out = docs.select(F.col(id_col).alias("id"), F.regexp_replace(text, r"[^a-z0-9\n]+", " ").alias("norm"))
-    paragraphs = F.filter(F.split("norm", r"\n(?: ?\n)+", -1), lambda p: F.contains(p, F.lit("\n")))
+    # A class, as a group that comes again and again would be one call deep for each time.
+    paragraphs = F.filter(F.split("norm", r"\n[ \n]*\n", -1), lambda p: F.contains(p, F.lit("\n")))
     paragraphs = F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " "))
     out = out.select("id", F.concat(F.split("norm", "\n", -1), paragraphs).alias("passages"))
     words = F.transform("passages", lambda p: F.split(F.trim(p), " ", -1))
