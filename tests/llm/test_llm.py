@@ -353,6 +353,33 @@ def test_lines_without_spaces(spark):
     assert lines._buckets(lines._signed(lines._lines(placed, lines.MIN_CHARS)), 1).count() == 0
 
 
+def test_lines_in_parts_of_a_bucket(spark):
+    """Hot buckets of lines that are alike, or related only, in parts of a few lines."""
+    rng = random.Random(25)
+    base = prose(rng, 60).split()
+    texts = [" ".join(w if rng.random() > rng.choice([0.01, 0.03, 0.08]) else f"x{rng.randrange(900)}" for w in base) for _ in range(150)]
+    texts = list(dict.fromkeys(texts))
+    placed = docs(spark, *texts).select(F.col("doc_id").alias("doc"), F.lit(0).alias("mark"), "text")
+    signed = common.checkpoint(lines._signed(lines._lines(placed, lines.MIN_CHARS)))
+    of = {r["line"]: r["first"]["doc"] for r in signed.collect()}
+
+    def groups(links):
+        root = {i: i for i in range(len(texts))}
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = {k: x if r == y else r for k, r in root.items()}
+        return sorted(sorted(k for k, r in root.items() if r == g) for g in set(root.values()))
+
+    found = [groups((of[r["a"]], of[r["b"]]) for r in lines.links(placed, signed, size=size).collect()) for size in (7, 256)]
+    assert found[0] == found[1]
+    sets = [lines.shingle_set(lines.normal(t)) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = groups(pairs)
+    assert len(want) > 1 and len(pairs) > 200
+    # A pair that shares no band may be lost, so a few lines may be left out; none is joined wrongly.
+    assert abs(len(found[0]) - len(want)) <= 4 and all(any(set(g) <= set(w) for w in want) for g in found[0])
+
+
 # 8: SimHash
 
 
@@ -580,7 +607,9 @@ def brute_components(texts):
     return root
 
 
-def test_near_duplicates_by_jaccard(spark):
+@pytest.mark.parametrize("part", [3, alike.PART])
+def test_near_duplicates_by_jaccard(spark, part, monkeypatch):
+    monkeypatch.setattr(alike, "PART", part)
     rng = random.Random(16)
     texts = [prose(rng, rng.randrange(1, 120)) for _ in range(40)]
     for t in texts[:40]:
