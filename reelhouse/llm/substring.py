@@ -240,7 +240,7 @@ def remove_repeats(
 
     # An anchor with one block only has all its windows in that block's earliest copy.
     several = blocks.groupBy("anchor").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b")
-    several = several.select("anchor", F.lit(True).alias("several"))
+    several = common.checkpoint(several.select("anchor", F.lit(True).alias("several")))  # as above, for a hot anchor
     placed = _repeated(blocks).join(several, "anchor", "left").where(~_is_first() | F.col("several"))
     # A block is a copy, or (with its anchor) the boundary of one.
     judged = placed.select(
