@@ -209,12 +209,13 @@ def near_duplicates(
     good = rows.where("valid")
     classes = good.groupBy("label", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     # A class has a number of its own: ids need not be unique. The numbers hold once the table is written.
-    classes = common.checkpoint(classes.withColumn("cls", F.monotonically_increasing_id()))
+    # So is the largest component, which the optimizer would else put into the loop over all components.
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x))).alias("largest")
+    classes = common.checkpoint(classes.select("*", F.monotonically_increasing_id().alias("cls"), largest))
     indexed = classes.select("cls", F.xxhash64("label").alias("label"), "v")
     pairs = candidates(indexed, cosine)
     # Components of at most 1, the largest of them 1: no square or sum of them can overflow, and no norm is 0.
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    scaled = classes.withColumn("largest", largest).withColumn("s", F.transform("v", lambda x: x / F.col("largest")))
+    scaled = classes.withColumn("s", F.transform("v", lambda x: x / F.col("largest")))
     sized = scaled.select("cls", F.col("s").alias("v"), "n", "label", F.sqrt(_dot(F.col("s"), F.col("s"))).alias("norm"))
     a = sized.select(*(F.col(c).alias(f"a_{c}") for c in sized.columns))
     b = sized.select(*(F.col(c).alias(f"b_{c}") for c in sized.columns))
