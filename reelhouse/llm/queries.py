@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embedding, licenses, lines, pii, quality, secrets, simhash, substring
+from . import bpe, conversations, decontaminate, embedding, exact, licenses, lines, phrases, pii, quality, secrets, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_embedding": embedding.op9_embedding,
     "op10_substring": substring.op10_substring,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_collocations": phrases.op12_collocations,
+    "op13_exact_dedup": exact.op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +30,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_licenses": licenses.OP6_SQL,
     "op9_embedding": embedding.OP9_SQL,
     "op10_substring": substring.OP10_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
+    "op12_collocations": phrases.OP12_SQL,
+    "op13_exact_dedup": exact.OP13_SQL,
 }

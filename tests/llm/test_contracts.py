@@ -46,7 +46,7 @@ def found(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(found, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.sql(ORACLE_SQL[name])
     assert sorted(map(repr, (tuple(r[c] for c in want.columns) for r in found(name)))) == sorted(map(repr, want.fetchall()))
