@@ -246,8 +246,8 @@ def repaired(rows: DataFrame, costs: Costs = Costs()) -> DataFrame:
         F.right(trimmed, F.lit(1)).isin(".", "!", "?").alias("whole"),
     )
     if inserts:
-        counts = told.groupBy("conv").agg(F.count_if(~F.col("gone")).cast("int").alias("turns"))
-        told = told.join(counts, told["conv"].eqNullSafe(counts["conv"])).drop(counts["conv"])
+        counts = told.groupBy(F.col("conv").alias("_conv")).agg(F.count_if(~F.col("gone")).cast("int").alias("turns"))
+        told = told.join(counts, F.col("conv").eqNullSafe(F.col("_conv"))).drop("_conv")
     else:
         told = told.withColumn("turns", F.lit(0))
     order = (F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")

@@ -43,27 +43,48 @@ def _hash(chunk: Column) -> Column:
     return F.xxhash64(chunk)
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, sha, recipe) of each input row. ``row`` tells rows apart, also those with equal ids or none."""
-    text = normalised(F.col(text_col))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("t"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, t): ``row`` tells rows apart, also those with equal ids or none; once it is written it stays the same."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
+
+
+def recipes(rows: DataFrame) -> DataFrame:
+    """(row, id, sha, recipe) of each of ``rows`` (row, id, t)."""
     return rows.select("row", "id", F.sha2("t", 256).alias("sha"), F.transform(chunks(F.col("t")), _hash).alias("recipe"))
 
 
-def shared_hashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def shared_hashes(rows: DataFrame) -> DataFrame:
     """(h): hashes that chunks of different texts share; every other hash is a verified identifier."""
-    chunk = docs.select(F.explode(chunks(normalised(F.col(text_col)))).alias("chunk"))
+    chunk = rows.select(F.explode(chunks(F.col("t"))).alias("chunk"))
     texts = chunk.select(_hash(F.col("chunk")).alias("h"), "chunk").distinct()
     return texts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
-def _named(docs: DataFrame, recipe: DataFrame, shared: DataFrame, text_col: str) -> DataFrame:
-    """``recipe`` with the text of each chunk whose hash isn't an identifier, in the place of the chunk."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), normalised(F.col(text_col)).alias("t"))
+_SPELLED = "array<struct<place:int,chunk:string>>"
+
+
+def _named(rows: DataFrame, recipe: DataFrame, shared: DataFrame) -> DataFrame:
+    """``recipe`` with ``spelled``: the text and place of each chunk whose hash isn't an identifier."""
     chunk = rows.select("row", F.posexplode(chunks(F.col("t"))).alias("place", "chunk")).withColumn("h", _hash(F.col("chunk")))
-    spelled = chunk.join(shared, "h", "left_semi").select("row", "place", "chunk")
-    listed = F.array_sort(F.collect_list(F.struct("place", "chunk"))).alias("spelled")  # a part of one document
-    return recipe.drop("spelled").join(spelled.groupBy("row").agg(listed), "row", "left")
+    chunk = chunk.join(shared, "h", "left_semi")
+    spelled = chunk.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "chunk"))).alias("spelled"))  # a part of one document
+    return recipe.join(spelled, "row", "left")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    recipe = common.checkpoint(recipes(rows))
+    shared = common.checkpoint(shared_hashes(rows))
+    none = F.array().cast(_SPELLED)
+    if shared.isEmpty():
+        recipe = recipe.withColumn("spelled", none)
+    else:
+        rows = common.checkpoint(rows)
+        recipe = common.checkpoint(_named(rows, recipes(rows), shared).withColumn("spelled", F.coalesce("spelled", none)))
+    found = recipe.groupBy("recipe", "spelled").agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("group_size"))
+    # Written first, so that both sides of the join are dealt anew and large partitions can be split.
+    found = common.checkpoint(found.select("recipe", "spelled", F.col("last.id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size"))
+    joined = recipe.join(found, ["recipe", "spelled"])
+    return joined.select("row", "id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,24 +93,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Of equal texts the row with the largest id is kept. A null id comes before all others; of rows that
     share the largest id one is kept. Null and empty texts are equal. No rows give no rows.
     """
-    recipe = common.checkpoint(recipes(docs, id_col, text_col).withColumn("spelled", F.lit(None).cast("array<struct<place:int,chunk:string>>")))
-    shared = common.checkpoint(shared_hashes(docs, text_col))
-    if not shared.isEmpty():
-        recipe = common.checkpoint(_named(docs, recipe, shared, text_col).select(*recipe.columns))
-    key = ["recipe", F.coalesce("spelled", F.array().cast(dict(recipe.dtypes)["spelled"])).alias("spelled")]
-    keyed = recipe.select("row", "id", "sha", *key)
-    found = keyed.groupBy("recipe", "spelled").agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("group_size"))
-    # Written first, so that both sides of the join are dealt anew and large partitions can be split.
-    found = common.checkpoint(found.select("recipe", "spelled", F.col("last.id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size"))
-    joined = keyed.join(found, ["recipe", "spelled"])
-    return joined.select("row", "id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
+    return _grouped(_rows(docs, id_col, text_col))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns, whatever those are called."""
-    kept = groups(docs, id_col, text_col).where("kept").select(F.col("row").alias("_kept_row"))
+    """The rows of ``docs`` that are kept, with all their columns, whatever those are called.
+
+    The rows are written with a number first, as those of a plan that is run twice may come in another order.
+    """
     name = common.spare_name(docs, "_row")
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept, F.col(name) == F.col("_kept_row"), "left_semi").select(*docs.columns)
+    written = common.checkpoint(docs.withColumn(name, F.monotonically_increasing_id()))
+    rows = written.select(F.col(name).alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"))
+    kept = _grouped(rows).where("kept").select(F.col("row").alias(f"{name}kept"))
+    return written.join(kept, F.col(name) == F.col(f"{name}kept"), "left_semi").select(*docs.columns)
 
 
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ without any punctuation can make a shard larger than ``SHARD``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from . import common
 SHARD = 1 << 21
 #: Occurrences of a phrase; per cent of them that a longer phrase must have to stand for it; phrases of a language.
 LEAST, COVERED, FIRST = 30, 80, 2000
+#: Turns in which longer phrases are listed.
+TURNS = 2
 #: Parts into which a language's phrases are dealt to find its first ones.
 PARTS = 256
 
@@ -191,51 +194,65 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size
     return rows.mapInArrow(run, SHARDS)
 
 
+#: A phrase in a shard: ``own``, the shard and the first place of its interval; the numbers of the phrase without its last,
+#: and without its first word; ``no``, its count and its first place in the other order. A row of four longs, as there may be as many as words.
+GRAMS = "own bigint, l bigint, r bigint, no bigint"
+_LOW = 31
+
+
+def _packed_pair(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.cast("long"), _LOW).bitwiseOR(low.cast("long"))
+
+
 def _frequent(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """The rows whose ``n`` sum up to ``least`` within their key, with the sum ``f`` and a number ``id`` of the key."""
+    """The rows whose counts sum up to ``least`` within their key, with the sum ``f`` and a number ``id`` of the key."""
     same = Window.partitionBy(*key)
-    own = F.shiftleft("shard", 31).bitwiseOR(F.col("lo").cast("long"))
-    summed = rows.select("*", own.alias("own"), F.sum("n").over(same).alias("f"), F.min(own).over(same).alias("id"))
+    summed = rows.select("*", F.sum(F.shiftright("no", _LOW)).over(same).alias("f"), F.min("own").over(same).alias("id"))
     return common.checkpoint(summed.where(F.col("f") >= least))
 
 
-GRAMS = "shard bigint, l bigint, r bigint, n int, lo int, other int"
-_ORDER = ("lo", "other", "n", "id")
-
-
-def _longer(index: DataFrame, known: DataFrame, side: int) -> DataFrame:
+def _longer(index: DataFrame, known: DataFrame, side: int, turn: int, turns: int) -> DataFrame:
     """Rows of ``GRAMS``: each shard's phrases that are longer by a word and of which both parts are ``known``.
 
-    ``l`` and ``r``: the numbers of the phrase without its last, and without its first word.
+    Phrases are extended whose number falls to this ``turn``.
     """
 
     def run(shard: pa.Table, grams: pa.Table) -> pa.Table:
-        names = [c.split() for c in GRAMS.split(", ")]
-        kinds = pa.schema([(n, pa.int64() if k == "bigint" else pa.int32()) for n, k in names])
+        kinds = pa.schema([(c.split()[0], pa.int64()) for c in GRAMS.split(", ")])
         if not shard.num_rows or not grams.num_rows:
             return kinds.empty_table()
         n = shard["n"][0].as_py()
-        own = Index(*(_unpacked(shard[c][0].as_py(), n) for c in ("before", "after")))
-        lo, other, size, ids = (grams[c].to_numpy().astype(np.int64) for c in _ORDER)
-        if side:
-            lo, other = other, lo
+        index = Index(*(_unpacked(shard[c][0].as_py(), n) for c in ("before", "after")))
+        own, no, ids = (grams[c].to_numpy() for c in ("own", "no", "id"))
+        low = (1 << _LOW) - 1
+        lo, other, size = (no & low, own & low, no >> _LOW) if side else (own & low, no & low, no >> _LOW)
         order = np.argsort(lo)
         lo, other, size, ids = lo[order], other[order], size[order], ids[order]
-        of, new_lo, new_other, new_size = own.extended(side, lo, other, size)
+        mine = np.flatnonzero(ids % turns == turn)
+        of, new_lo, new_other, new_size = index.extended(side, lo[mine], other[mine], size[mine])
         # In the order of ``side``, the new phrase lies within the interval of its part with the new word.
         at = np.searchsorted(lo, new_lo, side="right") - 1
         within = (at >= 0) & (new_lo < lo[at] + size[at])
-        of, at, new_lo, new_other, new_size = (x[within] for x in (of, at, new_lo, new_other, new_size))
+        of, at, new_lo, new_other, new_size = (x[within] for x in (mine[of], at, new_lo, new_other, new_size))
         left, right = (ids[of], ids[at]) if side else (ids[at], ids[of])
-        if side:
-            new_lo, new_other = new_other, new_lo
-        columns = (np.full(len(of), shard["shard"][0].as_py()), left, right, new_size, new_lo, new_other)
-        return pa.table([pa.array(c, f.type, safe=False) for c, f in zip(columns, kinds)], schema=kinds)
+        first, second = (new_other, new_lo) if side else (new_lo, new_other)
+        columns = (shard["shard"][0].as_py() << _LOW | first, left, right, new_size << _LOW | second)
+        return pa.table([pa.array(c, pa.int64()) for c in columns], schema=kinds)
 
-    grams = known.select(F.col("shard").alias("of"), *_ORDER).groupBy("of")
+    grams = known.select(F.shiftright("own", _LOW).alias("of"), "own", "no", "id").groupBy("of")
     return index.select("shard", "n", "before", "after").groupBy("shard").cogroup(grams).applyInArrow(run, GRAMS)
 
 
+def _extended(index: DataFrame, known: DataFrame, side: int, least: int, turns: int) -> DataFrame:
+    """The frequent phrases that are longer by a word than those ``known``, with a row for each shard.
+
+    Most phrases are rare, and all of them are listed to find that out. They are listed in ``turns``, one
+    after the other, so that the shuffle files of one turn are there at a time.
+    """
+    found = [_frequent(_longer(index, known, side, turn, turns), ["l", "r"], least) for turn in range(turns)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def _own(rows: DataFrame) -> DataFrame:
     """One row for each number."""
     return rows.where("own = id")
@@ -245,7 +262,9 @@ def _part(grams: DataFrame, side: str, *columns: str) -> DataFrame:
     return grams.select(F.col("id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns))
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, size: int = SHARD) -> tuple[DataFrame, ...]:
+def phrase_counts(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, size: int = SHARD, turns: int = TURNS
+) -> tuple[DataFrame, ...]:
     """Words, and phrases of 2, 3 and 4 words, that occur ``least`` times: (id, lang, phrase, last, f, n, cuts, l, r).
 
     ``last``: the last word. ``n``: the language's words. ``cuts``: for each place to cut the phrase, the counts (l, r) of
@@ -254,12 +273,12 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     index = common.checkpoint(shards(docs, text_col, lang_col, size))
     listed = index.select("shard", "lang", F.explode(F.arrays_zip("words", "counts", "starts")).alias("w"))
     total = listed.groupBy("lang").agg(F.sum("w.counts").alias("total"))
-    words = listed.select("shard", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.starts").alias("lo"))
-    words = _frequent(words.withColumn("other", F.col("lo")), ["lang", "word"], least)
-
-    pairs = _frequent(_longer(index, words, 1), ["l", "r"], least)
-    triples = _frequent(_longer(index, pairs, 0), ["l", "r"], least)
-    fours = _frequent(_longer(index, triples, 1), ["l", "r"], least)
+    start = F.col("w.starts")
+    words = listed.select("lang", F.col("w.words").alias("word"), _packed_pair(F.col("shard"), start).alias("own"), _packed_pair(F.col("w.counts"), start).alias("no"))
+    words = _frequent(words, ["lang", "word"], least)
+    pairs = _extended(index, words, 1, least, turns)
+    triples = _extended(index, pairs, 0, least, turns)
+    fours = _extended(index, triples, 1, least, turns)
 
     def counts(rows: DataFrame, parts: DataFrame) -> DataFrame:
         kept = ("phrase", "f", "cuts", "lang", "n", "last")

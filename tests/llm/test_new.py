@@ -1,0 +1,284 @@
+"""Conversation repair, collocations and exact deduplication against brute force, on small rows."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from reelhouse.llm import conversations, exact, phrases
+from tests.llm.test_llm import docs
+
+TURNS = "conv_id bigint, turn bigint, role string, text string"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# 11: conversation repair
+
+
+def slow_repair(rows, costs=conversations.Costs(), most=2):
+    """All ways to keep, rerole and delete ``rows`` (role, text, fault) and to insert up to ``most`` turns."""
+    found = []
+
+    def go(i, cost, audit, written, left):
+        if i == len(rows):
+            roles = "".join(r[:1] for r, _ in written)
+            if re.fullmatch("(s?(ua)+)?", roles) and all(r for r, _ in written):
+                found.append((cost, audit, "\n".join(f"{r}:{t}" for r, t in written)))
+        else:
+            role, text, fault = rows[i]
+            go(i + 1, cost + costs.delete, audit + "D", written, left)
+            if fault not in ("blank", "duplicate"):
+                extra = costs.truncated if fault == "truncated" else 0
+                go(i + 1, cost + extra, audit + "K", [*written, (role, text)], left)
+                for r in ("user", "assistant"):
+                    go(i + 1, cost + extra + costs.rerole, audit + "R", [*written, (r, text)], left)
+        if left:
+            for r in ("user", "assistant"):
+                go(i, cost + costs.insert, audit + "I", [*written, (r, "")], left - 1)
+
+    go(0, 0, "", [], most)
+    return min(found)
+
+
+def random_turns(rng, n):
+    return [(rng.choice(["user", "assistant", "system", "user", "assistant", "tool", ""]), f"t{k}", rng.choice([None] * 5 + ["blank", "duplicate", "truncated"])) for k in range(n)]
+
+
+@pytest.mark.parametrize("costs", [conversations.Costs(), conversations.Costs(insert=1), conversations.Costs(rerole=3, delete=2, insert=3), conversations.Costs(4, 1, 2, 0)])
+def test_repair_is_the_cheapest(costs):
+    rng = random.Random(11)
+    for _ in range(60):
+        rows = random_turns(rng, rng.randrange(5))
+        repair = conversations.Repair(costs, len(rows))
+        for role, text, fault in rows:
+            repair.read(role, text.encode(), fault)
+        cost, audit, written = slow_repair(rows, costs)
+        assert repair.result() == (cost, audit, sha(written))
+
+
+def test_weights_that_are_renewed_decide_alike(monkeypatch):
+    rng = random.Random(12)
+    for n in (3, 4, 5, 40, 200):
+        rows = random_turns(rng, n)
+        results = []
+        for block in (2, 3, 64, 1000):
+            monkeypatch.setattr(conversations, "BLOCK", block)
+            repair = conversations.Repair()
+            for role, text, fault in rows:
+                repair.read(role, text.encode(), fault)
+            results.append(repair.result())
+        assert len(set(results)) == 1
+
+
+def slow_conversations(rows):
+    """The contract of op11, row by row; ``rows``: (conv_id, turn, role, text)."""
+    space = lambda v: " " if v is None else v
+    white, out = " \t\n\v\f\r", {}
+    for c in {r[0] for r in rows}:
+        damaged = []
+        for _, turn, role, text in (r for r in rows if r[0] == c):
+            kind, role, text = zlib.crc32(f"{space(c)}:{space(turn)}".encode()) % 20, space(role), space(text)
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            damaged += [(turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+        damaged.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        faults = []
+        for k, (_, role, text) in enumerate(damaged):
+            seen = (role, text) in [r[1:] for r in damaged[:k]]
+            bare = text.strip(white)
+            faults.append("blank" if not bare else "duplicate" if seen else None if bare[-1] in ".!?" else "truncated")
+        turns = [r[0] for r in damaged if r[0] is not None]
+        initials = [r[1][:1] for r in damaged]
+        cost, audit, written = slow_repair([(r, t, f) for (_, r, t), f in zip(damaged, faults)], most=0)
+        out[c] = (
+            max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *(faults.count(f) for f in ("blank", "duplicate", "truncated")),
+            sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit, sha(written),
+        )
+    return out
+
+
+def test_repair_of_rows(spark):
+    rng = random.Random(13)
+    rows = []
+    for c in [None, *range(60)]:
+        for turn in [None, *range(rng.randrange(7))]:
+            said = rng.choice(["Yes.", "no", "Why? \n", " \t\v", "", None, "é　", "Yes."])
+            rows.append((c, turn, rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None]), said))
+        if rows[-1][1] is not None and rng.random() < 0.3:
+            rows.append(rows[-1])  # a repeated row
+            rows.append((c, rows[-1][1], "assistant", "another."))  # a tie
+    rows += [(101, 0, "user", "x" * 300_000), (101, 1, "assistant", "y. " * 100_000)]
+    df = spark.createDataFrame(rows, TURNS).repartition(5)
+    for name in ("conv", "gone", "blank", "_copy", "turns"):
+        df = df.withColumn(name, F.lit("extra"))
+    found = conversations.repaired(conversations.damage(df)).collect()
+    assert {r[0]: tuple(r)[1:] for r in found} == slow_conversations(rows)
+    assert len(found) == len({r[0] for r in rows})
+    assert conversations.repaired(conversations.damage(df.limit(0))).count() == 0
+
+
+def test_conversation_whose_turns_all_go(spark):
+    conv = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = spark.createDataFrame([(conv, 0, "user", "Hello.")], TURNS)
+    assert [tuple(r) for r in conversations.repaired(conversations.damage(rows)).collect()] == [(conv, 0, 0, 0, 0, 0, 0, "", sha(""))]
+
+
+def test_insertions_in_rows(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "Hi."), (1, 1, "user", "There?"), (2, 0, "system", "s.")], TURNS)
+    rows = rows.select(F.col("conv_id").alias("conv"), "turn", "role", "text", F.lit(False).alias("gone"))
+    found = {r["conv"]: (r["cost"], r["audit"], r["repaired_sha256"]) for r in conversations.repaired(rows, conversations.Costs(rerole=9, delete=9, insert=1)).collect()}
+    assert found == {1: (2, "KIKI", sha("user:Hi.\nassistant:\nuser:There?\nassistant:")), 2: (2, "KII", sha("system:s.\nuser:\nassistant:"))}
+
+
+def test_a_long_conversation(spark):
+    n = 30_000
+    rows = spark.range(n).selectExpr("7L AS conv", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('turn ', id, '.') AS text", "false AS gone")
+    (found,) = conversations.repaired(rows).collect()
+    # Of six turns (user, assistant, assistant, twice) the middle three get the other role.
+    assert (found["cost"], found["audit"], found["gaps"]) == (n // 2, "KKRRRK" * (n // 6), 0)
+
+
+# 12: collocations
+
+
+def slow_collocations(rows, least, covered, first):
+    total, count = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        total[lang] += 0
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lowered):
+            words = re.findall("[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            for k in range(1, 5):
+                for i in range(len(words) - k + 1):
+                    count[lang, tuple(words[i : i + k])] += 1
+    out = []
+    for lang in total:
+        some = {p: a for (own, p), a in count.items() if own == lang and a >= least and len(p) > 1}
+        kept = []
+        for p, a in some.items():
+            inside = (q for q in some if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))))
+            if any(100 * some[q] >= covered * a for q in inside):
+                continue
+            cuts = [(2_000_000 * a // (count[lang, p[:k]] + count[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            kept.append((-score, -a, " ".join(p).encode(), count[lang, p[:k]], count[lang, p[k:]]))
+        for rank, (score, a, p, left, right) in enumerate(sorted(kept)[:first], 1):
+            out.append((lang, rank, p.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size,parts,least,covered", [(1 << 21, 1, 3, 80), (40, 5, 3, 80), (7, 3, 2, 60), (1, 2, 4, 101)])
+def test_collocations_equal_brute_force(spark, size, parts, least, covered):
+    rng = random.Random(size)
+    pool = ["Strong tea", "strong TEA with milk", "of the", "a b a b a b", "x x x x x", "É é", "New\tYork", "a.b", "|", "  q"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", " ", "  ", ". ", ",", "\n", ";x;"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    rows = [(t, rng.choice(["en", "de", None, "und", ""])) for t in [*texts, None, "", "  ", texts[0], texts[0], "one"]]
+    df = spark.createDataFrame(rows, "text string, lang string").withColumns({c: F.lit("extra") for c in ("shard", "words", "lo", "id")})
+    got = phrases.collocations(df.repartition(parts), least=least, covered=covered, first=25, size=size).collect()
+    assert sorted(map(tuple, got)) == slow_collocations(rows, least, covered, 25)
+
+
+def test_collocations_of_odd_tables(spark):
+    df = spark.createDataFrame([(None, None), ("", "en"), (" . , ", "en")], "text string, lang string")
+    assert phrases.collocations(df).count() == 0 and phrases.collocations(df.limit(0)).count() == 0
+    long = spark.createDataFrame([("very long text " * 60_000, "en")], "text string, lang string")
+    assert {r["phrase"]: r["a"] for r in phrases.collocations(long, size=1000).collect()} == {
+        "very long text very": 59_999, "long text very long": 59_999, "text very long text": 59_999
+    }
+
+
+def test_intervals_hold_the_occurrences():
+    rng = np.random.default_rng(5)
+    tokens = np.concatenate([[0], rng.integers(0, 5, 400), [0]]).astype(np.int32)
+    index = phrases.Index(*phrases.transforms(tokens, 4))
+    assert np.array_equal(np.sort(index.sides[0]), np.sort(tokens)) and np.array_equal(np.sort(index.sides[1]), np.sort(tokens))
+    lo = index.firsts[1:5]
+    size = np.diff(index.firsts)[1:5]
+    told = [(w,) for w in range(1, 5)]
+    other = lo
+    for side in (1, 0, 1):
+        of, a, b, n = index.extended(side, lo, other, size)
+        word = index.symbols[a]
+        told = [(*told[o], w) if side else (w, *told[o]) for o, w in zip(of, word)]
+        want = Counter(g for g in zip(*(tokens[k:].tolist() for k in range(len(told[0])))) if 0 not in g)
+        assert dict(zip(told, n.tolist())) == dict(want)
+        lo, other, size = b, a, n  # the next word comes on the other side
+
+
+def test_score_is_exact(spark):
+    rows = [(30, 31, 40), (7 * 10**12, 10**13, 3), (9 * 10**17, 9 * 10**17, 9 * 10**17)]
+    df = spark.createDataFrame(rows, "a bigint, l bigint, r bigint")
+    assert [r[0] for r in df.select(phrases.score(F.col("a"), F.col("l"), F.col("r"))).collect()] == [2_000_000 * a // (x + y) for a, x, y in rows]
+
+
+# 13: exact deduplication
+
+
+def slow_groups(rows):
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    out = Counter()
+    for i, t in rows:
+        same = [j for j, u in rows if lower(u) == lower(t)]
+        keep = max((j for j in same if j is not None), default=None)
+        out[i, keep, len(same), sha(lower(t))] += 1
+    return out
+
+
+TEXTS = ["", None, "a", "A", "É", "é", "Some text. " * 300, "some Text. " * 300, "Some text. " * 299 + "some text! ", "x" * 20_000, "X" * 20_000, "x" * 20_001, "\U0001d49c" * 9000, "\n" * 700]
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_exact_groups(spark, monkeypatch, bits):
+    if bits < 64:  # unlike chunks with the same hash
+        monkeypatch.setattr(exact, "_hash", lambda c: F.xxhash64(c).bitwiseAND((1 << bits) - 1))
+    rng = random.Random(14)
+    rows = [(i, rng.choice(TEXTS)) for i in range(60)] + [(None, "a"), (None, "only here"), (5, "a"), (5, "a"), (99, "A"), (99, "a")]
+    df = docs(spark, *(t for _, t in rows), ids=[i for i, _ in rows]).withColumns({c: F.lit("extra") for c in ("row", "id", "recipe", "spelled", "keep_id", "_row")})
+    found = exact.groups(df.repartition(4)).collect()
+    assert Counter((r["id"], r["keep_id"], r["group_size"], r["sha"]) for r in found) == slow_groups(rows)
+    kept = [r for r in found if r["kept"]]
+    assert all(r["id"] == r["keep_id"] for r in kept) and len(kept) == len({r["sha"] for r in found})
+    left = exact.deduplicate(df)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"] or -1, hashlib.sha256((r["text"] or "").lower().encode()).hexdigest()) for r in left.collect() if r["text"] not in ("É", "é")) == sorted(
+        (r["id"] or -1, r["sha"]) for r in kept if r["sha"] not in (sha("É"), sha("é"))
+    )
+    assert exact.groups(df.limit(0)).count() == 0
+
+
+def test_chunks_make_the_text_and_meet_again(spark):
+    rng = random.Random(15)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + rng.choice(["", "", "", "."]) for _ in range(4000))
+    df = spark.createDataFrame([(text,), ("one. " + text,), ("y" * 30_000,)], "t string").select("t", exact.chunks(F.col("t")).alias("c"))
+    one, other, run = df.collect()
+    assert all("".join(r["c"]) == r["t"] for r in (one, other, run))
+    assert len(set(one["c"]) & set(other["c"])) > 0.9 * len(one["c"]) and max(map(len, run["c"])) == exact.MOST
+
+
+def test_large_groups_of_copies_are_split(spark):
+    """A join of rows with what is known of their group, when half of all rows are copies."""
+    plan = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in plan}
+    try:
+        for k, v in plan.items():
+            spark.conf.set(k, v)
+        rows = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'the same', concat('text ', id)) AS text").repartition(8)
+        found = exact.groups(rows)
+        assert found.where("group_size = 30000").count() == 30_000
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
