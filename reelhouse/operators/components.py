@@ -2,53 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hamming
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: the cluster's, or on one machine without one a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+from . import metric
+from .state import checkpoint
 
 
 def _block(h: Column, first: int, n: int) -> Column:
     return h if n == 64 else F.shiftrightunsigned(h, first).bitwiseAND((1 << n) - 1)
 
 
+#: The widest radius for which keys of bits tell hashes apart well; beyond it, a metric tree does better.
+KEYED = 8
+
+
 def _keys(radius: int) -> list[list[tuple[int, int]]]:
-    """The keys of a hash, each some blocks (first bit, bits): hashes within the radius agree in one key at least.
+    """The keys of a hash, each two blocks (first bit, bits): hashes within the radius agree in one key at least.
 
-    Of n blocks, n - radius agree, whichever bits differ. Up to a radius of 8 a key has two blocks
-    (21 keys of 18 bits for 5), beyond that one.
+    Of radius + 2 blocks two agree, whichever bits differ (21 keys of 18 bits for a radius of 5).
     """
-    together = 2 if radius <= 8 else 1
-    n = radius + together
+    n = radius + 2
     cuts = [64 * i // n for i in range(n + 1)]
     spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
-    return [list(key) for key in combinations(spans, together)]
+    return [list(key) for key in combinations(spans, 2)]
 
 
 def hamming_links(hashes: DataFrame, radius: int, column: str = "h", parts: int = 8) -> DataFrame:
-    """(a, b, distance), a < b: pairs of different hashes at most ``radius`` bits apart.
-
-    Hashes that are equal are one. An equi-join on the keys of ``_keys`` finds every pair; a pair is
-    reported by the first key in which it agrees, so none comes twice and nothing has to be made
-    distinct. Each key's rows on the one side are dealt to ``parts`` tasks, and meet the other side's
-    in all of them, so a hot key is no one task's work. The number of comparisons is that of pairs
-    which agree in a key: for n evenly spread hashes about n * n * 21 / 2**19 at a radius of 5, but n * n / 2 at 15,
-    as keys of four bits hardly tell hashes apart. No exact method is known to do much better there.
+    """(a, b, distance), a < b: pairs of different hashes at most ``radius`` bits apart, each once.
+
+    Hashes that are equal are one. Up to ``KEYED`` bits, an equi-join on the keys of ``_keys`` finds every pair; a pair is
+    reported by the first key in which it agrees, so nothing has to be made distinct. Each key's rows on the one side
+    are dealt to ``parts`` tasks, and meet the other side's in all of them, so a hot key is no one task's work. Beyond,
+    the hashes are searched by a metric tree (``metric.searched``).
     """
+    if radius > KEYED:
+        return metric.searched(hashes, radius, column).where("a IS NOT NULL").select("a", "b", "distance")
     h = hashes.select(F.col(column).alias("h")).where(F.col(column).isNotNull()).distinct()
     distance = hamming(F.col("a"), F.col("b"))
     keys = _keys(radius)
