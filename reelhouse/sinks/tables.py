@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from datetime import datetime
 
@@ -39,8 +40,14 @@ class Store:
             return self.spark.createDataFrame([], FILES)
         return self.spark.read.schema(FILES).parquet(f"{self.path}/files/v={versions[-1]}")
 
+    def _claim(self, kind: str, number: int) -> int:
+        """The first number from ``number`` on that no one else has claimed: a file of that name is made, which only one can do."""
+        while not _create(self.spark, f"{self.path}/claims/{kind}={number}"):
+            number += 1
+        return number
+
     def write_files(self, manifest: DataFrame) -> DataFrame:
-        version = max(self._versions(), default=0) + 1
+        version = self._claim("v", max(self._versions(), default=0) + 1)
         manifest.select(*FILES.fieldNames()).write.parquet(f"{self.path}/files/v={version}")
         return self.files()
 
@@ -71,7 +78,7 @@ class Store:
     def new_run(self, command: str, args: dict) -> int:
         if (version := self.schema_version()) != SCHEMA_VERSION:
             raise ValueError(f"the state has schema version {version}, this library {SCHEMA_VERSION}")
-        number = (self.runs().agg(F.max("id")).first()[0] or 0) + 1
+        number = self._claim("run", (self.runs().agg(F.max("id")).first()[0] or 0) + 1)
         row = (number, now(), command, json.dumps(args, sort_keys=True))
         self.spark.createDataFrame([row], RUNS).write.mode("append").parquet(f"{self.path}/runs")
         return number
@@ -84,5 +91,27 @@ class Store:
         lines.write.mode("append").json(f"{self.path}/logs/run={run_id:04}/cmd={command}")
 
 
+def _create(spark: SparkSession, path: str) -> bool:
+    """Make a file that must not exist; False if it does. Of several who try at once, one gets True."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # whose create() looks first and then makes the file
+        local = at.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(at, False).close()
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e) and not fs.exists(at):
+            raise
+        return False
+    return True
+
+
 def now() -> str:
     return datetime.now().isoformat(timespec="seconds")

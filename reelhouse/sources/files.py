@@ -10,62 +10,106 @@ import json
 import os
 import shutil
 import subprocess
+from collections import deque
 from collections.abc import Iterator
-from itertools import islice
+from functools import reduce
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import text
+from ..functions import phash, text
+from ..operators.state import checkpoint
 
 WALKED = "source_path string, source_root string, rel_path string, size bigint, mtime double, root_position int"
 HASHED = "source_path string, content_hash string, error string"
+#: The tags that are read.
 TAGS = ("DateTimeOriginal", "CreateDate", "MediaCreateDate", "Model", "ImageWidth", "ImageHeight")
 RECORD = "source_path string, " + ", ".join(f"{t} string" for t in TAGS)
 _CHUNK = 1 << 20
 _ROWS = 50_000
 
 
-def _below(root: str, position: int, folder: str, deep: bool) -> Iterator[tuple]:
-    """Regular files in ``folder``, and ``deep`` below it, in order; names that begin with a dot are skipped, folders of such names aren't."""
-    for at, folders, names in os.walk(folder):
-        folders.sort()
-        for name in sorted(names):
-            path = Path(at, name)
-            if name.startswith(".") or not path.is_file():
-                continue
-            st = path.stat()
-            yield str(path), root, str(path.relative_to(root)), st.st_size, st.st_mtime, position
-        if not deep:
-            break
+#: Entries that a task lists before the folders that it hasn't come to are dealt out again.
+_STEP = 20_000
+_LISTED = WALKED + ", folder string, task int"
 
 
-def _listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in WALKED.split(", ")]
-    for frame in frames:
-        for job in frame.itertuples(index=False):
-            found = _below(job.root, job.position, job.folder, job.deep)
-            while rows := list(islice(found, _ROWS)):
-                yield pd.DataFrame(rows, columns=columns)
+def _listing(step: int):
+    """Files of the folders of a partition and below them, until ``step`` entries are listed; then the folders that are left.
 
+    Names that begin with a dot are skipped, folders of such names aren't, and links to folders aren't followed.
+    """
 
-def walk(spark: SparkSession, roots: list[str], cfg: Config) -> DataFrame:
-    """Media files below the roots that exist, with ``ext`` and ``kind``; files of other kinds are left out.
-
-    The driver lists the roots themselves; each folder in them is walked by a task of its own.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, seen = TaskContext.get().partitionId(), 0
+        columns = [c.split()[0] for c in _LISTED.split(", ")]
+        rows: list[tuple] = []
+        for frame in frames:
+            for job in frame.itertuples(index=False):
+                left = deque([job.folder])
+                while left:
+                    folder = left.popleft()
+                    if seen >= step:
+                        rows.append((folder, job.root, None, None, None, job.position, folder, task))
+                    else:
+                        try:
+                            entries = list(os.scandir(folder))
+                        except OSError:  # gone, or not to be read
+                            entries = []
+                        seen += len(entries) + 1
+                        for e in entries:
+                            if e.is_dir(follow_symlinks=False):
+                                left.append(e.path)
+                            elif not e.name.startswith(".") and e.is_file():
+                                st = e.stat()
+                                rows.append((e.path, job.root, os.path.relpath(e.path, job.root), st.st_size, st.st_mtime, job.position, None, task))
+                    if len(rows) >= _ROWS:
+                        yield _frame(rows, columns)
+                        rows = []
+        if rows:
+            yield _frame(rows, columns)
+
+    return run
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=columns).astype({"size": "Int64", "mtime": "float64"})
+
+
+def listed(spark: SparkSession, roots: list[tuple[str, int]], step: int = _STEP) -> DataFrame:
+    """Rows of ``WALKED`` for every file below the roots (path, position), with the ``task`` that found it.
+
+    Folders are the frontier of a search by rounds. In each, they are dealt to tasks; a task lists what is below its
+    folders until it has seen ``step`` entries, and the folders that it hasn't come to are the next round's. So a deep or
+    large folder is soon many tasks' work, and a small tree takes one round. Every round is written.
     """
-    jobs = []
-    for position, root in enumerate(Path(r).expanduser().resolve() for r in roots):
-        if root.exists():
-            jobs.append((str(root), position, str(root), False))
-            jobs += ((str(root), position, str(c), True) for c in sorted(root.iterdir()) if c.is_dir() and not c.is_symlink())
-    if not jobs:
+    found = []
+    frontier = spark.createDataFrame([(root, position, root) for root, position in roots], "root string, position int, folder string")
+    most = 4 * spark.sparkContext.defaultParallelism
+    while n := frontier.count():
+        round_ = checkpoint(frontier.repartition(min(n, most)).mapInPandas(_listing(step), _LISTED))
+        found.append(round_.where("folder IS NULL").drop("folder"))
+        left = round_.where("folder IS NOT NULL")
+        frontier = left.select(F.col("source_root").alias("root"), F.col("root_position").alias("position"), "folder")
+    return reduce(DataFrame.unionByName, found)
+
+
+def walk(spark: SparkSession, roots: list[str], cfg: Config) -> DataFrame:
+    """Media files below the roots that exist, with ``ext`` and ``kind``; files of other kinds are left out."""
+    known = [(str(root), position) for position, root in enumerate(Path(r).expanduser().resolve() for r in roots) if root.exists()]
+    if not known:
         return classified(spark.createDataFrame([], WALKED), cfg)
-    folders = spark.createDataFrame(jobs, "root string, position int, folder string, deep boolean").repartition(len(jobs))
-    return classified(folders.mapInPandas(_listed, WALKED), cfg)
+    return classified(listed(spark, known).drop("task"), cfg)
+
+
+def path_order(path: Column) -> Column:
+    """What paths are sorted by: their parts, one by one, so that a folder's files come before those of a folder whose name goes on."""
+    return F.split(path, "/")
 
 
 def classified(files: DataFrame, cfg: Config) -> DataFrame:
@@ -111,10 +155,9 @@ def blake2b_column(column: str = "text"):
     return digest(F.col(column))
 
 
-def perceptual_hash(path: str) -> str | None:
-    """The 64-bit perceptual hash in hex; null where the image or the optional libraries can't be read."""
+def grey_values(path: str) -> np.ndarray | None:
+    """A picture's grey values, ``phash.SIDE`` rows and columns; null where it or the optional library can't be read."""
     try:
-        import imagehash
         from PIL import Image
     except ImportError:
         return None
@@ -126,11 +169,17 @@ def perceptual_hash(path: str) -> str | None:
         pass
     try:
         with Image.open(path) as image:
-            return str(imagehash.phash(image))
+            return np.asarray(image.convert("L").resize((phash.SIDE, phash.SIDE), Image.Resampling.LANCZOS))
     except Exception:  # a picture that can't be decoded has no hash, whatever its decoder raises
         return None
 
 
+def perceptual_hash(path: str) -> str | None:
+    """The 64-bit perceptual hash in hex; null where there are no grey values."""
+    grey = grey_values(path)
+    return None if grey is None else phash.hex_hashes(grey[None])[0]
+
+
 def pending_images(manifest: DataFrame) -> DataFrame:
     """Scanned images without a perceptual hash, from this scan or an earlier one."""
     return manifest.where("kind = 'image' AND phash IS NULL AND status = 'scanned'")
