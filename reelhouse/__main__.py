@@ -11,7 +11,9 @@ def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="reelhouse")
     parser.add_argument("--workdir", default="reelhouse_work")
     commands = parser.add_subparsers(dest="command", required=True)
-    commands.add_parser("scan").add_argument("sources", nargs="+")
+    scan = commands.add_parser("scan")
+    scan.add_argument("sources", nargs="+")
+    scan.add_argument("--without-metadata", action="store_true", help="scan although exiftool isn't there to read metadata")
     commands.add_parser("plan")
     commands.add_parser("review")
     apply = commands.add_parser("apply")
@@ -30,8 +32,11 @@ def listed(rows: DataFrame) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     from .plans.library import Library
+    from .sources.files import exiftool_available
 
     args = arguments().parse_args(argv)
+    if args.command == "scan" and not args.without_metadata and not exiftool_available():
+        raise SystemExit("exiftool isn't on the PATH: install it, or scan --without-metadata")
     spark = SparkSession.builder.appName("reelhouse").getOrCreate()
     library = Library(spark, args.workdir)
     if args.command == "scan":

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import dates, text
 from .components import components, hamming_links
+from .numbering import by_ranges
 
 
 def exact_groups(files: DataFrame) -> DataFrame:
@@ -65,9 +66,21 @@ def burst_or_review(members: DataFrame, cfg: Config) -> DataFrame:
     whole = (F.count("t") == F.count("*")) & (F.count("camera") == F.count("*")) & (F.min("camera") == F.max("camera"))
     checked = timed.groupBy("component").agg(F.count("*").alias("n"), whole.alias("whole")).where("n >= 2")
     # Only components that can still be bursts are put in order.
-    likely = timed.join(checked.where("whole").select("component"), "component", "left_semi")
-    in_order = Window.partitionBy("component").orderBy("t")
-    gap = F.timestamp_diff("SECOND", F.lag("t").over(in_order), F.col("t"))
-    gaps = likely.select("component", gap.alias("gap")).groupBy("component").agg(F.max("gap").alias("gap"))
+    likely = timed.join(checked.where("whole").select("component"), "component", "left_semi").select("component", "t")
+    gaps = widest_gaps(likely)
     verdict = F.when(F.col("gap") <= cfg.burst_window_s, "burst").otherwise("review")
     return checked.join(gaps, "component", "left").select("component", verdict.alias("verdict"))
+
+
+def widest_gaps(timed: DataFrame) -> DataFrame:
+    """(component, gap): the most seconds between one of a component's times (columns component, t) and the next.
+
+    Rows are dealt by ranges of component and time, so a component of very many is several tasks' work. Gaps within a
+    range are found there; those between ranges are found from the first and last time of each, one row a component and range.
+    """
+    dealt = by_ranges(timed, "component", "t")
+    in_order = Window.partitionBy("_range", "component").orderBy("t")
+    gap = F.timestamp_diff("SECOND", F.lag("t").over(in_order), F.col("t"))
+    ends = dealt.withColumn("gap", gap).groupBy("component", "_range").agg(F.max("gap").alias("gap"), F.min("t").alias("first"), F.max("t").alias("last"))
+    across = F.timestamp_diff("SECOND", F.lag("last").over(Window.partitionBy("component").orderBy("_range")), F.col("first"))
+    return ends.select("component", F.greatest("gap", across).alias("gap")).groupBy("component").agg(F.max("gap").alias("gap"))

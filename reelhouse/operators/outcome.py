@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text
+from .numbering import placed
+from .state import checkpoint
 
 
 def route(manifest: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -34,21 +36,57 @@ def outcome_counts(routed: DataFrame) -> DataFrame:
     )
 
 
-def provenance(keepers: DataFrame, manifest: DataFrame, cfg: Config, most: int = 12) -> DataFrame:
-    """(id, keywords, description) of each keeper: folders of it and of its copies, and where they lay.
+#: Parts into which a keeper's folder names are dealt to find the first ones, and paths of a piece of its description.
+_PARTS, PIECE = 64, 1000
 
-    Keywords are the distinct folder names in code-point order, the first ``most`` of them. Copies come by id.
-    """
+
+def _origins(keepers: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(id, nth, rel) of each keeper itself (nth -1) and of its copies (nth: their ids)."""
     rel = F.coalesce("rel_path", F.lit(""))
     own = keepers.select("id", F.lit(-1).cast("long").alias("nth"), rel.alias("rel"))
     copies = manifest.where("dupe_of IS NOT NULL").select(F.col("dupe_of").alias("id"), F.col("id").alias("nth"), rel.alias("rel"))
-    copies = copies.join(keepers.select("id"), "id", "left_semi")
-    rows = own.unionByName(copies)
-    rels = F.transform(F.array_sort(F.collect_list(F.struct("nth", "rel"))), lambda r: r["rel"])
-    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(text.folders(F.col("rel"))))))
-    told = rows.groupBy("id").agg(F.slice(words, 1, most).alias("keywords"), rels.alias("rels"))
-    lines = F.array_join(F.filter("rels", lambda r: r != ""), " | ")
-    return told.select("id", "keywords", F.concat(F.lit(cfg.provenance_prefix), lines).alias("description"))
+    return own.unionByName(copies.join(keepers.select("id"), "id", "left_semi"))
+
+
+def first_folders(origins: DataFrame, most: int) -> DataFrame:
+    """(id, keywords): the first ``most`` distinct folder names of each id, in code-point order.
+
+    Names are made distinct before and after a shuffle. The first ones of each part of an id's names are found, and of those
+    the first ones; so the row that an id gathers has a bounded number of names, however many it has.
+    """
+    words = origins.select("id", F.explode(text.folders(F.col("rel"))).alias("word")).distinct()
+    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(_PARTS)))
+    nth = F.row_number().over(Window.partitionBy("id", "part").orderBy("word"))
+    some = words.withColumn("nth", nth).where(F.col("nth") <= most)
+    return some.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("word")), 1, most).alias("keywords"))
+
+
+def description_pieces(origins: DataFrame, size: int = PIECE) -> DataFrame:
+    """(id, piece, line): the paths of each id, its own first, then its copies' by id, up to ``size`` in a line.
+
+    Paths are numbered by ranges of id and place, so no row and no task has to hold all of a keeper's.
+    """
+    told = placed(origins.where("rel <> ''"), "id", [F.col("nth")], "place")
+    told = told.withColumn("piece", F.floor((F.col("place") - 1) / size).cast("long"))
+    pieces = told.groupBy("id", "piece").agg(F.array_sort(F.collect_list(F.struct("place", "rel"))).alias("rels"))
+    return pieces.select("id", "piece", F.array_join(F.transform("rels", lambda r: r["rel"]), " | ").alias("line"))
+
+
+def provenance(keepers: DataFrame, manifest: DataFrame, cfg: Config, most: int = 12) -> DataFrame:
+    """(id, keywords, description) of each keeper: folders of it and of its copies, and where they lay.
+
+    Keywords are the distinct folder names in code-point order, the first ``most`` of them. Copies come by id. The
+    description is one text, as the file that it is written to has one; it is put together from pieces.
+    """
+    origins = checkpoint(_origins(keepers, manifest))
+    pieces = description_pieces(origins).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "line"))).alias("lines"))
+    joined = F.array_join(F.transform("lines", lambda p: p["line"]), " | ")
+    rows = keepers.select("id").join(first_folders(origins, most), "id", "left").join(pieces, "id", "left")
+    return rows.select(
+        "id",
+        F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+        F.concat(F.lit(cfg.provenance_prefix), F.coalesce(joined, F.lit(""))).alias("description"),
+    )
 
 
 def merge_jobs(routed: DataFrame, manifest: DataFrame) -> DataFrame:

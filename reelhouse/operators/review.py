@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .numbering import placed
+from .state import checkpoint
 
 
 def _pixels() -> Column:
@@ -16,18 +18,19 @@ def queue(manifest: DataFrame) -> DataFrame:
     """Every row for review, with what its group says about it.
 
     suggested: the one with the most pixels, then the largest, then the smallest id. best_res and
-    best_size: has the group's maximum, if that is over 0; all that share it are flagged.
+    best_size: has the group's maximum, if that is over 0; all that share it are flagged. A group's best is
+    found by an aggregation that combines before the shuffle, so a group of any size is no one task's work.
     """
     rows = manifest.where("role = 'review'")
     size = F.coalesce("size", F.lit(0).cast("long"))
-    ranked = Window.partitionBy("group_id").orderBy(_pixels().desc(), size.desc(), "id")
-    group = Window.partitionBy("group_id")
-    best_pixels, best_size = F.max(_pixels()).over(group), F.max(size).over(group)
-    return rows.select(
-        "*",
-        (F.row_number().over(ranked) == 1).alias("suggested"),
-        ((_pixels() == best_pixels) & (best_pixels > 0)).alias("best_res"),
-        ((size == best_size) & (best_size > 0)).alias("best_size"),
+    first = F.min(F.struct(-_pixels(), -size, F.col("id"))).getField("id").alias("_first")
+    best = rows.groupBy(F.col("group_id").alias("_of")).agg(first, F.max(_pixels()).alias("_pixels"), F.max(size).alias("_size"))
+    joined = rows.join(checkpoint(best), F.col("group_id").eqNullSafe(F.col("_of")))
+    return joined.select(
+        *(rows[c] for c in rows.columns),
+        (F.col("id") == F.col("_first")).alias("suggested"),
+        ((_pixels() == F.col("_pixels")) & (F.col("_pixels") > 0)).alias("best_res"),
+        ((size == F.col("_size")) & (F.col("_size") > 0)).alias("best_size"),
     )
 
 
@@ -67,8 +70,15 @@ def decision_rows(queued: DataFrame, prior: DataFrame) -> DataFrame:
     )
 
 
-def payload(queued: DataFrame, decisions: DataFrame, thumbnails: DataFrame | None = None) -> DataFrame:
-    """(gid, files): a row for each group, with what a review page shows of each file, largest first."""
+#: Files of a group that are shown on one page.
+PAGE = 500
+
+
+def payload(queued: DataFrame, decisions: DataFrame, thumbnails: DataFrame | None = None, size: int = PAGE) -> DataFrame:
+    """(gid, page, files): what a review page shows of each group's files, largest first, ``size`` of them a row.
+
+    Pages count from 0. Files are given their places by ranges, so a large group is several tasks' work and several rows.
+    """
     d = decisions.select("file_id", "resolution", "size_kb", "suggestion", "decision", F.col("merge_from_file_id").alias("merge"))
     rows = queued.join(d, queued["id"] == d["file_id"])
     thumb = F.lit(None).cast("string")
@@ -76,7 +86,7 @@ def payload(queued: DataFrame, decisions: DataFrame, thumbnails: DataFrame | Non
         made = thumbnails.select(F.col("id").alias("_thumb")).distinct()
         rows = rows.join(made, rows["id"] == made["_thumb"], "left")
         thumb = F.when(F.col("_thumb").isNotNull(), F.concat(F.lit("thumbs/"), F.col("_thumb").cast("string"), F.lit(".jpg")))
-    size = F.coalesce("size", F.lit(0).cast("long"))
+    bytes_ = F.coalesce("size", F.lit(0).cast("long"))
     shown = F.struct(
         "id",
         F.col("source_path").alias("path"),
@@ -84,7 +94,7 @@ def payload(queued: DataFrame, decisions: DataFrame, thumbnails: DataFrame | Non
         thumb.alias("thumb"),
         F.col("width").alias("w"),
         F.col("height").alias("h"),
-        size.alias("size"),
+        bytes_.alias("size"),
         "ext",
         "kind",
         "camera",
@@ -96,8 +106,11 @@ def payload(queued: DataFrame, decisions: DataFrame, thumbnails: DataFrame | Non
         "decision",
         F.coalesce("merge", F.lit("")).alias("merge"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct((-size).alias("s"), F.col("id").alias("i"), shown.alias("f"))))
-    return rows.groupBy(F.col("group_id").alias("gid")).agg(F.transform(ordered, lambda x: x["f"]).alias("files"))
+    told = rows.select(F.col("group_id").alias("gid"), (-bytes_).alias("_less"), F.col("id").alias("_id"), shown.alias("_file"))
+    told = placed(told, "gid", [F.col("_less"), F.col("_id")], "_place")
+    page = F.floor((F.col("_place") - 1) / size).cast("long").alias("page")
+    ordered = F.array_sort(F.collect_list(F.struct("_place", F.col("_file").alias("f"))))
+    return told.groupBy("gid", page).agg(F.transform(ordered, lambda x: x["f"]).alias("files"))
 
 
 def normal_decision(decision: Column) -> Column:
@@ -148,24 +161,56 @@ def merged_rows(group_id: int, decisions: dict[int, str], donor: int | None) ->
 def fold_clicks(decisions: DataFrame, clicks: DataFrame) -> DataFrame:
     """Decisions after all clicks (group_id, seq, file_id, action), each group's in the order of seq.
 
-    ``decisions``: group_id, file_id, decision, merge_from_file_id. A group is what someone looks at
-    on one page, so it is small; groups are folded side by side.
+    ``decisions``: group_id, file_id, decision, merge_from_file_id. The same as ``click`` one by one, from three things:
+
+    * A file is kept or not by its own clicks alone: each ``keep`` turns it round.
+    * What isn't kept is as it was decided, with files that were let go skipped, until a file is kept: then it is skipped.
+      When none is kept any longer, it is open.
+    * The donor changes by the clicks in order.
+
+    The first is a window over one file's clicks. The other two are an ``aggregate`` over the group's clicks in order, whose
+    state is the number of kept files, what the others are, and the donor; it never holds the files. Files learn of their
+    group by a join.
     """
-    import pandas as pd
-
-    def fold(key: tuple, files: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        state, donor = {}, None
-        for r in files.sort_values("file_id").itertuples():
-            d = str(r.decision or "").lower()
-            state[int(r.file_id)] = d if d in ("keep", "skip") else ""
-            if state[int(r.file_id)] == "keep" and r.merge_from_file_id:
-                donor = int(r.merge_from_file_id)
-        for r in log.sort_values("seq").itertuples():
-            donor = click(state, donor, int(r.file_id), r.action)
-        return pd.DataFrame(merged_rows(key[0], state, donor), columns=["group_id", "file_id", "decision", "merge_from_file_id"])
-
-    files = decisions.select("group_id", "file_id", "decision", "merge_from_file_id").groupBy("group_id")
-    return files.cogroup(clicks.select("group_id", "seq", "file_id", "action").groupBy("group_id")).applyInPandas(fold, FOLDED)
+    own = F.lower(F.coalesce("decision", F.lit("")))
+    files = decisions.select("group_id", "file_id", F.when(own.isin("keep", "skip"), own).otherwise("").alias("own"), "merge_from_file_id")
+    donor = F.when((F.col("own") == "keep") & (F.col("merge_from_file_id") != ""), F.struct("file_id", F.col("merge_from_file_id").cast("long").alias("of")))
+    starts = files.groupBy("group_id").agg(F.count_if(F.col("own") == "keep").alias("kept"), F.max(donor)["of"].alias("donor"))
+
+    done = clicks.where(F.col("action").isin("keep", "donate")).select("group_id", "seq", "file_id", (F.col("action") == "donate").alias("donate"))
+    done = done.join(files.select("group_id", "file_id", "own"), ["group_id", "file_id"])
+    earlier = Window.partitionBy("group_id", "file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.coalesce(F.sum(F.when(F.col("donate"), 0).otherwise(1)).over(earlier), F.lit(0)) % 2 == 1
+    done = checkpoint(done.select("group_id", "seq", "file_id", "donate", "own", ((F.col("own") == "keep") != turned).alias("kept")))
+
+    entry = F.struct("seq", "file_id", "donate", "kept", F.col("own").isin("keep", "skip").alias("decided"))
+    logs = done.groupBy("group_id").agg(F.array_sort(F.collect_list(entry)).alias("log"))
+    # rest: what files that aren't kept are; null while it is as it was decided.
+    first = F.struct(F.col("kept").alias("kept"), F.lit(None).cast("string").alias("rest"), F.col("donor").alias("donor"))
+
+    def step(state: Column, c: Column) -> Column:
+        skipped = ~c["kept"] & F.when(state["rest"].isNull(), c["decided"]).otherwise(state["rest"] == "skip")
+        other = F.when(~skipped, state["donor"]).when(state["donor"].eqNullSafe(c["file_id"]), None).otherwise(c["file_id"])
+        none = c["kept"] & (state["kept"] == 1)
+        kept = F.when(c["donate"], state["kept"]).when(c["kept"], state["kept"] - 1).otherwise(state["kept"] + 1)
+        rest = F.when(c["donate"], state["rest"]).when(none, "").when(c["kept"], state["rest"]).otherwise("skip")
+        donor = F.when(c["donate"], other).when(none, None).when(c["kept"] | ~state["donor"].eqNullSafe(c["file_id"]), state["donor"])
+        return F.struct(kept.alias("kept"), rest.alias("rest"), donor.alias("donor"))
+
+    ended = starts.join(logs, "group_id").select("group_id", F.aggregate("log", first, step).alias("end"))
+    ended = starts.join(ended, "group_id", "left").select(
+        "group_id", F.col("end.rest").alias("rest"), F.when(F.col("end").isNull(), F.col("donor")).otherwise(F.col("end.donor")).alias("donor")
+    )
+    turns = done.where(~F.col("donate")).groupBy("group_id", "file_id").agg((F.count("*") % 2 == 1).alias("turned"))
+    rows = files.join(turns, ["group_id", "file_id"], "left").join(checkpoint(ended), "group_id")
+    kept = (F.col("own") == "keep") != F.coalesce("turned", F.lit(False))
+    as_was = F.when(F.col("own") == "", "").otherwise("skip")
+    rows = rows.select("group_id", "file_id", F.when(kept, "keep").otherwise(F.coalesce("rest", as_was)).alias("decision"), "donor")
+    # A donor counts if it is a skipped file of the group.
+    valid = rows.where("file_id = donor AND decision = 'skip'").select("group_id", F.col("donor").cast("string").alias("valid"))
+    rows = rows.join(valid, "group_id", "left")
+    merge = F.when(F.col("decision") == "keep", F.coalesce("valid", F.lit(""))).otherwise("")
+    return rows.select("group_id", "file_id", "decision", merge.alias("merge_from_file_id"))
 
 
 def csv_lines(rows: DataFrame) -> DataFrame:

@@ -31,3 +31,8 @@ def plan_counts(planned: DataFrame) -> DataFrame:
         F.count_distinct(F.when(role == "burst", F.col("group_id"))).alias("bursts"),
         F.count_distinct(F.when(role == "review", F.col("group_id"))).alias("review_groups"),
     )
+
+
+def plan_detail(counts: DataFrame) -> DataFrame:
+    """(detail): the counts of a plan as the log has them."""
+    return counts.select(F.concat_ws(" ", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in counts.columns)).alias("detail"))

@@ -11,7 +11,7 @@ from ..config import Config, load_config
 from ..functions import text
 from ..operators import incremental, outcome, summary
 from ..operators import review as reviewing
-from ..operators.components import checkpoint
+from ..operators.state import checkpoint
 from ..sinks import library as sinks
 from ..sinks.tables import Store, now
 from ..sources import decisions as decision_files
@@ -56,15 +56,13 @@ class Library:
         printed = hashed.join(prints, hashed["source_path"] == prints["_p"], "left")
         printed = printed.select(*(F.coalesce("_phash", "phash").alias(c) if c == "phash" else F.col(c) for c in manifest.columns))
         manifest = self.store.write_files(printed)
-        found = manifest.join(changed.select("source_path"), "source_path", "left_semi")
-        self._log(found.select(F.col("id").alias("file_id"), F.lit("scanned").alias("action"), F.col("source_path").alias("detail")), run_id, "scan")
+        self._log(incremental.scanned(manifest, changed), run_id, "scan")
         return manifest
 
     def plan(self) -> DataFrame:
         run_id = self.store.new_run("plan", {})
         planned = self.store.write_files(make_plan(self.store.files(), self.cfg))
-        n = summary.plan_counts(planned).first().asDict()
-        self._note(run_id, "plan", "plan", " ".join(f"{k}={v}" for k, v in n.items()))
+        self._note(run_id, "plan", "plan", summary.plan_detail(summary.plan_counts(planned)).first()[0])
         return planned
 
     def review(self) -> DataFrame | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import dates
-from ..operators.components import checkpoint
+from ..operators.state import checkpoint
 from ..operators.grouping import burst_or_review, companions, exact_groups, similar_images
 from ..operators.numbering import numbered
 from ..schema import DURABLE, FROZEN
@@ -30,6 +30,11 @@ def reset(manifest: DataFrame) -> DataFrame:
     return manifest.select(*columns)
 
 
+def last_group(fresh: DataFrame) -> int:
+    """The number after which a plan's groups are numbered: the largest that a manifest keeps when it is reset."""
+    return fresh.agg(F.max("group_id")).first()[0] or 0
+
+
 def plan(manifest: DataFrame, cfg: Config | None = None) -> DataFrame:
     """A new snapshot of ``manifest`` with roles, groups, dates and statuses; a pure function of both arguments.
 
@@ -40,7 +45,7 @@ def plan(manifest: DataFrame, cfg: Config | None = None) -> DataFrame:
     cfg = cfg or Config()
     fresh = reset(manifest)
     takes_part = F.col("status").isin("scanned", "copied") & F.col("content_hash").isNotNull()
-    seed = fresh.agg(F.max("group_id")).first()[0] or 0
+    seed = last_group(fresh)
 
     files = exact_groups(fresh.where(takes_part))
     kept = F.col("id") == F.col("keeper_id")

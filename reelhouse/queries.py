@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .functions import dates, text
+from .functions import dates, phash, text
 from .operators import components as graph
 from .operators import grouping, incremental, outcome, review, summary
 from .operators.numbering import numbered
-from .plans.plan import plan
+from .plans.plan import last_group, plan, reset
 from .sources.files import blake2b_column
 
 CFG = Config(max_year=2030)
@@ -225,7 +225,7 @@ def incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
       CASE WHEN c.source_path IS NULL THEN m.content_hash END AS content_hash
     FROM manifest m LEFT JOIN changed c USING (source_path)
     UNION ALL
-    SELECT (SELECT max(id) FROM manifest) + row_number() OVER (ORDER BY source_path), source_path, size, mtime, 'scanned', NULL
+    SELECT (SELECT max(id) FROM manifest) + row_number() OVER (ORDER BY string_split(source_path, '/')), source_path, size, mtime, 'scanned', NULL
     FROM changed WHERE source_path NOT IN (SELECT source_path FROM manifest)""",
 )
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -440,10 +440,32 @@ def review_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     queued = _queued(spark, sf_dir)
     rows = review.decision_rows(queued, review.prior_decisions(_prior(spark, sf_dir)))
     shown = review.payload(queued, rows)
-    return shown.select("gid", text.script_safe(F.to_json("files")).alias("files"))
+    return shown.select("gid", "page", text.script_safe(F.to_json("files")).alias("files"))
 
 
-@_query("click_fold")
+@_query(
+    "click_fold",
+    """WITH RECURSIVE files AS (SELECT doc_id // 4 AS g, doc_id AS f FROM documents),
+    groups AS (SELECT g, list(f ORDER BY f) AS fs, list('' ORDER BY f) AS ds FROM files GROUP BY g),
+    steps AS (
+      SELECT g, f, event_type = 'click' AS donate, row_number() OVER (PARTITION BY g ORDER BY event_id) AS nth
+      FROM events JOIN files ON user_id = f
+    ), fold AS (
+      SELECT g, fs, ds, NULL::BIGINT AS donor, 0::BIGINT AS nth FROM groups
+      UNION ALL
+      SELECT g, fs, CASE WHEN donate THEN ds
+          WHEN d = 'keep' AND kept = 1 THEN list_transform(ds, lambda x: '')
+          WHEN d = 'keep' THEN list_transform(ds, lambda x, i: CASE WHEN i = pos THEN 'skip' ELSE x END)
+          ELSE list_transform(ds, lambda x, i: CASE WHEN i = pos OR x = 'keep' THEN 'keep' ELSE 'skip' END) END,
+        CASE WHEN donate THEN CASE WHEN d <> 'skip' THEN donor WHEN donor = f THEN NULL ELSE f END
+          WHEN d = 'keep' AND kept = 1 THEN NULL WHEN d <> 'keep' AND donor = f THEN NULL ELSE donor END, nth
+      FROM (SELECT fold.g, fs, ds, donor, s.nth, s.f, donate, list_position(fs, s.f) AS pos, ds[list_position(fs, s.f)] AS d,
+              len(list_filter(ds, lambda x: x = 'keep')) AS kept
+            FROM fold JOIN steps s ON s.g = fold.g AND s.nth = fold.nth + 1)
+    ), ended AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY nth DESC) AS last FROM fold)
+    SELECT g AS group_id, unnest(fs) AS file_id, unnest(ds) AS decision, unnest(list_transform(ds, lambda d: CASE WHEN d = 'keep'
+      AND ds[list_position(fs, donor)] = 'skip' THEN CAST(donor AS VARCHAR) ELSE '' END)) AS merge_from_file_id FROM ended WHERE last = 1""",
+)
 def click_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.expr("doc_id div 4").alias("group_id"), F.col("doc_id").alias("file_id"))
@@ -709,6 +731,102 @@ def display_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     queued = _queued(spark, sf_dir)
     shown = review.payload(queued, review.decision_rows(queued, review.prior_decisions(_prior(spark, sf_dir))))
-    files = shown.select("gid", F.posexplode("files").alias("place", "f"))
+    files = shown.select("gid", "page", F.posexplode("files").alias("at", "f"))
+    files = files.select("gid", (F.col("page") * review.PAGE + F.col("at")).cast("int").alias("place"), "f")
     own = ("id", "path", "w", "h", "size", "ext", "kind", "camera", "suggested", "bestRes", "bestSize", "decision", "merge")
     return files.select("gid", "place", *(F.col(f"f.{c}").alias(c) for c in own), "f.csv.*")
+
+
+_ROOTS = ("/photos", "/photos more", "/old.photos")
+_NAMES = ("a", "a b", "a.b", "a-b", "a/b", "A", "a!", "é", "ab")
+
+
+@_query(
+    "walk_order",
+    f"""WITH paths AS (
+      SELECT doc_id % 3 AS position, {_sql_list(_ROOTS)}[doc_id % 3 + 1] || '/' || {_sql_list(_NAMES)}[doc_id // 3 % 9 + 1] || '/'
+        || {_sql_list(_NAMES)}[doc_id // 27 % 9 + 1] || '/' || doc_id || '.jpg' AS source_path FROM documents)
+    SELECT source_path, row_number() OVER (ORDER BY position, string_split(source_path, '/')) AS id FROM paths""",
+)
+def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of new files: by root, then by the parts of their paths."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    parts = (_pick(_ROOTS, "doc_id % 3"), _pick(_NAMES, "doc_id div 3 % 9"), _pick(_NAMES, "doc_id div 27 % 9"), F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")))
+    paths = docs.select(F.expr("CAST(doc_id % 3 AS INT)").alias("root_position"), F.concat_ws("/", *parts).alias("source_path"))
+    return numbered(paths, incremental.walk_key(paths), "id").select("source_path", "id")
+
+
+@_query(
+    "scan_audit",
+    f"""WITH {MANIFEST_SQL}, {_WALKED_SQL}, added AS (
+      SELECT source_path, (SELECT max(id) FROM manifest) + row_number() OVER (ORDER BY string_split(source_path, '/')) AS id
+      FROM changed WHERE source_path NOT IN (SELECT source_path FROM manifest))
+    SELECT coalesce(m.id, a.id) AS file_id, 'scanned' AS action, c.source_path AS detail
+    FROM changed c LEFT JOIN manifest m USING (source_path) LEFT JOIN added a USING (source_path)""",
+)
+def scan_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan writes to the action log: the ids of all new and changed files."""
+    files = manifest(spark, sf_dir)
+    changed = incremental.changed_files(_walked(files), files)
+    return incremental.scanned(incremental.upsert(files, changed), changed)
+
+
+@_query(
+    "plan_detail",
+    f"""{_PLAN_SQL} SELECT 'exact_dupes=' || count(*) FILTER (WHERE role = 'exact_dupe')
+      || ' raw_pairs=' || count(DISTINCT pair_key) FILTER (WHERE role = 'raw_jpeg_pair')
+      || ' bursts=' || count(DISTINCT component) FILTER (WHERE role = 'burst')
+      || ' review_groups=' || count(DISTINCT component) FILTER (WHERE role = 'review') AS detail FROM told""",
+)
+def plan_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a plan writes to the action log."""
+    return summary.plan_detail(summary.plan_counts(_planned(spark, sf_dir)))
+
+
+@_query(
+    "apply_log",
+    f"""{_ROUTED_SQL}, {_DATES_SQL.replace("FROM manifest", "FROM routed")}
+    SELECT id AS file_id, CASE action WHEN 'skip_dupe' THEN 'skipped_exact_dupe' WHEN 'skip_manual' THEN 'skipped_manual_review' ELSE 'copied' END
+        AS action,
+      CASE action WHEN 'skip_dupe' THEN 'dupe_of=' || dupe_of WHEN 'skip_manual' THEN ''
+        ELSE source_path || ' -> /lib/' || id || ' (date:' || date_source || '/' || CASE date_source WHEN 'exif' THEN 'high'
+          WHEN 'filename' THEN 'medium' WHEN 'none' THEN 'none' ELSE 'low' END || ', role:' || role || ')' END AS detail
+    FROM dated WHERE action <> 'held'""",
+)
+def apply_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What applying a plan writes to the action log."""
+    _, routed = _routed(spark, sf_dir)
+    found = dates.resolve(CFG)
+    routed = routed.withColumns({c: found[c] for c in ("date_source", "date_confidence")})
+    return outcome.actions(routed, 1, "").select("file_id", "action", "detail")
+
+
+@_query(
+    "group_numbers_after",
+    _PAIRS_SQL
+    + """ SELECT pair_key, (SELECT coalesce(max(id // 3), 0) FROM manifest WHERE id % 7 = 2) + row_number() OVER (ORDER BY pair_key) AS number
+      FROM (SELECT DISTINCT pair_key FROM pairs)""",
+)
+def group_numbers_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of groups after those of the files that a new plan leaves as they are."""
+    files = manifest(spark, sf_dir).withColumn("group_id", F.expr("id div 3"))
+    files = files.withColumn("status", F.expr("IF(id % 7 = 2, IF(id % 2 = 0, 'error', 'skipped_manual'), status)"))
+    pairs = companion_groups(spark, sf_dir).select("pair_key").distinct()
+    return numbered(pairs, "pair_key", "number", last_group(reset(files)))
+
+
+@_query(
+    "perceptual_hashes",
+    """WITH cells AS (
+      SELECT vec_id, embedding[8 * i + j + 1] AS x, i, j FROM embeddings, range(8) r(i), range(8) c(j) WHERE len(embedding) = 64
+    ), frequencies AS (
+      SELECT vec_id, 8 * u + v AS place, sum(4 * x * cos(pi() * u * (2 * i + 1) / 16) * cos(pi() * v * (2 * j + 1) / 16)) AS f
+      FROM cells, range(8) a(u), range(8) b(v) GROUP BY vec_id, u, v
+    ), bits AS (SELECT vec_id, place, f > median(f) OVER (PARTITION BY vec_id) AS bit FROM frequencies),
+    quads AS (SELECT vec_id, place // 4 AS q, sum(CASE WHEN bit THEN 8 >> (place % 4)::INT ELSE 0 END)::INT AS digit FROM bits GROUP BY vec_id, place // 4)
+    SELECT vec_id, string_agg('0123456789abcdef'[digit + 1], '' ORDER BY q) AS phash FROM quads GROUP BY vec_id""",
+)
+def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes of embeddings, each taken for a picture of 8 by 8 grey values."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.select("vec_id", phash.hash_column(F.col("embedding"), 8).alias("phash"))

@@ -6,7 +6,6 @@ step can be repeated: copies go to a name of their own and are renamed, and what
 
 from __future__ import annotations
 
-import csv
 import os
 import shutil
 import subprocess
@@ -20,22 +19,76 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text
-from ..operators import outcome
+from ..operators import outcome, review
+from ..operators.state import checkpoint
 from ..schema import DECISIONS
 
 
-def write_decisions(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header, RFC 4180 quoting and CRLF, by group and file.
+def _parts(rows: DataFrame, folder: str, name: str, head: str, between: str, tail: str) -> DataFrame:
+    """(part, file, first, last, rows): each partition of ``rows`` (key, line) as one file below ``folder``, written by its task.
 
-    Rows come one partition at a time, so the driver never holds the table.
+    Lines come as the partition has them, with ``between`` them. ``first`` and ``last`` are keys. An empty partition has no
+    file. A file gets its name when it is whole, so a task that runs twice does no harm.
     """
-    columns = DECISIONS.fieldNames()
-    ordered = rows.select(*columns).orderBy("group_id", F.col("file_id"))
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(columns)
-        for row in ordered.toLocalIterator():
-            out.writerow(["" if v is None else v for v in row])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        number, count, first, last = TaskContext.get().partitionId(), 0, None, None
+        target = Path(folder, name.format(number))
+        part = target.with_name(f"{target.name}.{uuid.uuid4().hex}.part")
+        out = None
+        for batch in batches:
+            for key, line in zip(batch["key"], batch["line"]):
+                if out is None:
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    out = open(part, "w", encoding="utf-8", newline="")
+                    out.write(head)
+                    first = int(key)
+                out.write((between if count else "") + line)
+                count, last = count + 1, int(key)
+        if out is not None:
+            out.write(tail)
+            out.close()
+            os.replace(part, target)
+            yield pd.DataFrame({"part": [number], "file": [target.name], "first": [first], "last": [last], "rows": [count]})
+
+    return rows.select("key", "line").mapInPandas(run, "part int, file string, first bigint, last bigint, rows bigint")
+
+
+def _joined(parts: DataFrame, folder: str, path: str, head: str = "", tail: str = "") -> None:
+    """One file of all parts in order, put together by one task that copies bytes and holds no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as out:
+            out.write(head.encode())
+            for batch in batches:
+                for name in batch["file"]:
+                    with open(Path(folder, name), "rb") as own:
+                        shutil.copyfileobj(own, out, 1 << 20)
+            out.write(tail.encode())
+        os.replace(part, path)
+        yield pd.DataFrame({"done": [1]})
+
+    parts.repartition(1).sortWithinPartitions("part").select("file").mapInPandas(run, "done int").count()
+
+
+def write_decisions(rows: DataFrame, path: str) -> DataFrame:
+    """One CSV file with a header, RFC 4180 quoting and CRLF, by group and file; returns its index.
+
+    Each range of groups and files is written as a part by its own task, beside the file, and the parts are joined. The
+    index, (part, file, first, last, rows), tells which groups each part holds; the parts stay, for who wants to read or edit
+    a range of a large file.
+    """
+    folder = f"{path}.parts"
+    lines = review.csv_lines(rows.select(*DECISIONS.fieldNames()))
+    lines = lines.repartitionByRange("group_id", "file_id").sortWithinPartitions("group_id", "file_id")
+    shutil.rmtree(folder, ignore_errors=True)
+    told = lines.select(F.col("group_id").cast("long").alias("key"), F.concat("line", F.lit("\r\n")).alias("line"))
+    index = checkpoint(_parts(told, folder, "decisions-{:05}.csv", "", "", ""))
+    _joined(index, folder, path, ",".join(DECISIONS.fieldNames()) + "\r\n")
+    return index
 
 
 _PAGE = """<!doctype html>
@@ -50,7 +103,7 @@ const data = JSON.parse(document.getElementById("data").textContent);
 for (const group of data.groups) {
   const section = document.createElement("section");
   const title = document.createElement("h2");
-  title.textContent = `group ${group.gid}: ${group.files.length} files`;
+  title.textContent = `group ${group.gid}` + (group.page ? `, page ${group.page + 1}` : "") + `: ${group.files.length} files`;
   section.append(title);
   for (const file of group.files) {
     const figure = document.createElement("figure");
@@ -66,16 +119,40 @@ for (const group of data.groups) {
 """
 
 
-def write_review_page(payload: DataFrame, path: str, workdir: str) -> None:
-    """A page with the groups' payload as JSON, which no path in it can end early."""
-    groups = payload.orderBy("gid").select(text.script_safe(F.to_json(F.struct("gid", "files"), {"ignoreNullFields": "false"})))
-    head, tail = _PAGE.split("GROUPS")
+_INDEX = """<!doctype html>
+<meta charset="utf-8">
+<title>Review</title>
+<ul>
+ITEMS</ul>
+"""
+#: Files on one page file, about.
+ON_PAGE = 2000
+
+
+def write_review_page(payload: DataFrame, path: str, workdir: str, on_page: int = ON_PAGE) -> DataFrame:
+    """Pages with the groups' payload as JSON, which no path in it can end early; returns their index.
+
+    Each range of groups, or of a large group's pages, is one file, written by its own task below ``review_pages``. ``path`` is
+    a list of links to them with the groups on each; where one file holds all, it is that file.
+    """
+    folder = str(Path(path).with_name("review_pages"))
+    shutil.rmtree(folder, ignore_errors=True)
+    payload = checkpoint(payload)
+    files = payload.agg(F.sum(F.size("files"))).first()[0] or 0
+    ranges = max(1, -(-files // on_page))
     own = payload.sparkSession.range(1).select(text.script_safe(F.to_json(F.array(F.lit(workdir))))).first()[0][1:-1]
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(head.replace("WORKDIR", own))
-        for i, (line,) in enumerate(groups.toLocalIterator()):
-            f.write((",\n" if i else "") + line)
-        f.write(tail)
+    head, tail = (x.replace("WORKDIR", own) for x in _PAGE.split("GROUPS"))
+    lines = payload.repartitionByRange(ranges, "gid", "page").sortWithinPartitions("gid", "page")
+    json = text.script_safe(F.to_json(F.struct("gid", "page", "files"), {"ignoreNullFields": "false"}))
+    index = checkpoint(_parts(lines.select(F.col("gid").alias("key"), json.alias("line")), folder, "page-{:05}.html", head, ",\n", tail))
+    if ranges == 1:
+        _joined(index, folder, path)
+        return index
+    item = F.format_string('<li><a href="review_pages/%s">groups %d to %d</a></li>\n', "file", "first", "last")
+    links = index.repartition(1).sortWithinPartitions("part").select(F.col("first").alias("key"), item.alias("line"))
+    top, end = _INDEX.split("ITEMS")
+    _parts(links, str(Path(path).parent), Path(path).name.replace("{", "{{").replace("}", "}}"), top, "", end).count()
+    return index
 
 
 def make_thumbnails(queued: DataFrame, folder: str, side: int = 320) -> DataFrame:
