@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -29,6 +29,17 @@ def route(manifest: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select(*manifest.columns, action.alias("action"), donor.alias("merge_from"))
 
 
+def with_destinations(routed: DataFrame, cfg: Config, root: str) -> DataFrame:
+    """``routed`` with the place below ``root`` of what is to be copied; this is all that a dry run shows."""
+    place = F.when(F.col("action") == "copy", text.destination(cfg, root)).otherwise(F.col("dest_path"))
+    return routed.withColumn("dest_path", place)
+
+
+def way(ext: Column, cfg: Config) -> Column:
+    """How provenance goes with a file: embedded where its format takes it, else in a sidecar file."""
+    return F.when(ext.isin(sorted(cfg.embed_ext)), "embedded").otherwise("sidecar")
+
+
 def outcome_counts(routed: DataFrame) -> DataFrame:
     a = F.col("action")
     return routed.agg(
@@ -117,6 +128,11 @@ def actions(routed: DataFrame, run_id: int, ts: str) -> DataFrame:
     return rows.select(F.lit(run_id).cast("long").alias("run_id"), F.col("id").alias("file_id"), named.alias("action"), detail.alias("detail"), F.lit(ts).alias("ts"))
 
 
+def log_lines(actions: DataFrame) -> DataFrame:
+    """The fields of the log's JSON lines, in their order."""
+    return actions.select("ts", F.col("run_id").alias("run"), "file_id", "action", "detail")
+
+
 def applied(manifest: DataFrame, routed: DataFrame) -> DataFrame:
     """The manifest after a plan was applied: new statuses, and the places of copied files."""
     status = F.when(F.col("action") == "copy", "copied").when(F.col("action") == "skip_dupe", "skipped_dupe")

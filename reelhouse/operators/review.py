@@ -223,3 +223,8 @@ def progress(rows: DataFrame) -> DataFrame:
     """(decided, total): groups with a decision, and all groups."""
     groups = rows.groupBy("group_id").agg(F.bool_or(F.coalesce("decision", F.lit("")) != "").alias("any"))
     return groups.agg(F.count_if("any").alias("decided"), F.count("*").alias("total"))
+
+
+def exported(rows: DataFrame) -> DataFrame:
+    """(groups, files) of the decision rows that a review writes."""
+    return rows.agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("files"))

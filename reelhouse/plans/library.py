@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, load_config
-from ..functions import text
 from ..operators import incremental, outcome, summary
 from ..operators import review as reviewing
 from ..operators.state import checkpoint
@@ -78,7 +77,7 @@ class Library:
         Path(self.workdir, "thumbs").mkdir(exist_ok=True)
         thumbs = sinks.make_thumbnails(queued, f"{self.workdir}/thumbs")
         sinks.write_review_page(reviewing.payload(queued, rows, thumbs), f"{self.workdir}/review.html", self.workdir)
-        groups, files = rows.agg(F.count_distinct("group_id"), F.count("*")).first()
+        groups, files = reviewing.exported(rows).first()
         self._note(run_id, "review", "review_exported", f"{groups} groups, {files} files")
         return rows
 
@@ -87,8 +86,7 @@ class Library:
         rows = decision_files.read_decisions(self.spark, decisions or f"{self.workdir}/decisions.csv")
         root = str(Path(out).expanduser().resolve())
         routed = outcome.route(self.store.files(), reviewing.accepted_decisions(rows))
-        place = F.when(F.col("action") == "copy", text.destination(self.cfg, root)).otherwise(F.col("dest_path"))
-        return routed.withColumn("dest_path", place)
+        return outcome.with_destinations(routed, self.cfg, root)
 
     def apply(self, out: str, decisions: str | None = None) -> DataFrame:
         """Copy keepers into the library and record what was done; files that can't be copied stay as planned."""

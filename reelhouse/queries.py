@@ -18,6 +18,7 @@ from .operators import components as graph
 from .operators import grouping, incremental, outcome, review, summary
 from .operators.numbering import numbered
 from .plans.plan import last_group, plan, reset
+from .sources import files as sources
 from .sources.files import blake2b_column
 
 CFG = Config(max_year=2030)
@@ -830,3 +831,82 @@ def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hashes of embeddings, each taken for a picture of 8 by 8 grey values."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return vectors.select("vec_id", phash.hash_column(F.col("embedding"), 8).alias("phash"))
+
+
+@_query(
+    "pending_images",
+    f"""WITH {MANIFEST_SQL} SELECT id, source_path FROM manifest LEFT JOIN embeddings ON vec_id = id
+    WHERE kind = 'image' AND status = 'scanned' AND (embedding IS NULL OR id % 5 = 0)""",
+)
+def pending_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images that still have no perceptual hash; others have that of their embedding, but for some that weren't decoded."""
+    hashes = perceptual_hashes(spark, sf_dir).where("vec_id % 5 <> 0").select(F.col("vec_id").alias("id"), F.col("phash").alias("_ph"))
+    files = manifest(spark, sf_dir).join(hashes, "id", "left").withColumn("phash", F.col("_ph")).drop("_ph")
+    return sources.pending_images(files).select("id", "source_path")
+
+
+@_query(
+    "provenance_ways",
+    _ROUTED_SQL
+    + """ SELECT id, CASE WHEN ext IN ('.jpg', '.jpeg', '.png', '.heic') THEN 'embedded' ELSE 'sidecar' END AS way FROM routed WHERE action = 'copy'""",
+)
+def provenance_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = _routed(spark, sf_dir)[1].where("action = 'copy'")
+    return routed.select("id", outcome.way(F.col("ext"), CFG).alias("way"))
+
+
+@_query(
+    "dry_run",
+    f"""{_ROUTED_SQL}, {_DATES_SQL.replace("FROM manifest", "FROM routed")}, named AS (
+      SELECT *, {_SLUG} || '_' || left(content_hash, 8) || lower(ext) AS own FROM dated)
+    SELECT action, source_path, '/out/' || CASE WHEN action <> 'copy' THEN NULL WHEN t IS NULL THEN 'unknown-date/' || own
+      WHEN date_source IN ('exif', 'filename') AND strftime(t, '%H%M%S') <> '000000' THEN strftime(t, '%Y/%m/%Y%m%d_%H%M%S_') || own
+      ELSE strftime(t, '%Y/%m/%Y%m%d_') || own END AS dest_path FROM named""",
+)
+def dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What applying a plan would do with every planned and queued file."""
+    routed = _routed(spark, sf_dir)[1].withColumn("_d", dates.resolve(CFG)).withColumn("dest_path", F.lit(None).cast("string"))
+    routed = routed.withColumns({c: F.col(f"_d.{c}") for c in ("date_taken", "date_source")})
+    return outcome.with_destinations(routed, CFG, "/out").select("action", "source_path", "dest_path")
+
+
+@_query("review_export", _QUEUE_SQL + " SELECT count(DISTINCT group_id) AS groups, count(*) AS files FROM decided")
+def review_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.exported(decision_rows(spark, sf_dir))
+
+
+@_query(
+    "applied_manifest",
+    _ROUTED_SQL
+    + """ SELECT p.id, CASE r.action WHEN 'copy' THEN 'copied' WHEN 'skip_dupe' THEN 'skipped_dupe' WHEN 'skip_manual' THEN 'skipped_manual'
+      ELSE p.status END AS status, '/lib/' || p.id AS dest_path FROM planned p LEFT JOIN routed r ON r.id = p.id""",
+)
+def applied_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest after a plan was applied."""
+    files, routed = _routed(spark, sf_dir)
+    return outcome.applied(files, routed).select("id", "status", "dest_path")
+
+
+@_query(
+    "action_json_lines",
+    f"""{_ROUTED_SQL} SELECT id AS file_id, json_object('ts', '2024-01-02T03:04:05', 'run', 12, 'file_id', id, 'action',
+        CASE action WHEN 'skip_dupe' THEN 'skipped_exact_dupe' WHEN 'skip_manual' THEN 'skipped_manual_review' ELSE 'copied' END, 'detail',
+        CASE action WHEN 'skip_dupe' THEN 'dupe_of=' || dupe_of WHEN 'skip_manual' THEN ''
+        ELSE source_path || ' -> /lib/' || id || ' (date:"a"/low, role:' || role || ')' END)::VARCHAR AS line FROM routed WHERE action <> 'held'""",
+)
+def action_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the action log as JSON."""
+    routed = _routed(spark, sf_dir)[1].withColumns({"date_source": F.lit('"a"'), "date_confidence": F.lit("low")})
+    fields = outcome.log_lines(outcome.actions(routed, 12, "2024-01-02T03:04:05"))
+    return fields.select("file_id", F.to_json(F.struct(*fields.columns)).alias("line"))
+
+
+@_query(
+    "script_safe_json",
+    f"""WITH {MANIFEST_SQL} SELECT id, replace(json_object('path', source_path || '</script>', 'name', 'a "b" </' || ext)::VARCHAR, '</', '<\\/') AS json
+    FROM manifest""",
+)
+def script_safe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON with what would end a script element, made safe."""
+    path, name = F.concat("source_path", F.lit("</script>")).alias("path"), F.concat(F.lit('a "b" </'), "ext").alias("name")
+    return manifest(spark, sf_dir).select("id", text.script_safe(F.to_json(F.struct(path, name))).alias("json"))

@@ -78,8 +78,8 @@ def write_decisions(rows: DataFrame, path: str) -> DataFrame:
     """One CSV file with a header, RFC 4180 quoting and CRLF, by group and file; returns its index.
 
     Each range of groups and files is written as a part by its own task, beside the file, and the parts are joined. The
-    index, (part, file, first, last, rows), tells which groups each part holds; the parts stay, for who wants to read or edit
-    a range of a large file.
+    index, (part, file, first, last, rows), also written as ``index.csv``, tells which groups each part holds; the parts stay, for
+    who wants to read a range of a large file.
     """
     folder = f"{path}.parts"
     lines = review.csv_lines(rows.select(*DECISIONS.fieldNames()))
@@ -87,6 +87,9 @@ def write_decisions(rows: DataFrame, path: str) -> DataFrame:
     shutil.rmtree(folder, ignore_errors=True)
     told = lines.select(F.col("group_id").cast("long").alias("key"), F.concat("line", F.lit("\r\n")).alias("line"))
     index = checkpoint(_parts(told, folder, "decisions-{:05}.csv", "", "", ""))
+    entry = F.concat(F.concat_ws(",", "file", "first", "last", "rows"), F.lit("\r\n"))
+    entries = index.repartition(1).sortWithinPartitions("part").select(F.col("first").alias("key"), entry.alias("line"))
+    _parts(entries, folder, "index.csv", "file,first_group,last_group,rows\r\n", "", "").count()
     _joined(index, folder, path, ",".join(DECISIONS.fieldNames()) + "\r\n")
     return index
 
@@ -210,7 +213,7 @@ def write_provenance(copied: DataFrame, cfg: Config) -> DataFrame:
 
     ``copied``: id, dest_path, ext, keywords, description.
     """
-    embeds = F.col("ext").isin(sorted(cfg.embed_ext))
+    embeds = outcome.way(F.col("ext"), cfg) == "embedded"
     rows = copied.select(
         "id",
         "dest_path",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.outcome import log_lines
 from ..schema import ACTIONS, FILES, RUNS, SCHEMA_VERSION, VERSIONS
 
 
@@ -87,8 +88,7 @@ class Store:
         """Append actions to the table, and as JSON lines below ``logs/run=N/cmd=...``."""
         actions = actions.select(*ACTIONS.fieldNames())
         actions.write.mode("append").parquet(f"{self.path}/actions")
-        lines = actions.select("ts", F.col("run_id").alias("run"), "file_id", "action", "detail")
-        lines.write.mode("append").json(f"{self.path}/logs/run={run_id:04}/cmd={command}")
+        log_lines(actions).write.mode("append").json(f"{self.path}/logs/run={run_id:04}/cmd={command}")
 
 
 def _create(spark: SparkSession, path: str) -> bool:
