@@ -2,10 +2,10 @@
 
 Base findings (assignments, access identifiers, hexadecimal strings) are reported as they are.
 Weak candidates (identifiers, secrets and endpoints that alone say little) are reported only
-where complementary parts co-occur: within the same scope, a stretch of text without a blank line,
-and within ``REACH`` code points. The join of the parts' intervals is a sweep: two windows over a
+where complementary parts co-occur within the same scope, however far apart: a stretch of text without a blank line
+and without a border between two objects in braces. The join of the parts' intervals is a sweep: two windows over a
 document's parts, in the order of their starts and in reverse, give each part the nearest end
-before it and the nearest start after it of every kind. No pairs are made, so the work is
+before it and the nearest start after it of every kind in its scope. No pairs are made, so the work is
 n log n in a document's parts.
 
 A document is one row until its parts are exploded; all that follows is dealt by row, in one
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Code points between complementary parts, at most.
-REACH = 400
-
 ASSIGN, ACCESS, HEX, IDENTIFIER, SECRET, ENDPOINT, BREAK = range(7)
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 
@@ -36,10 +33,11 @@ PATTERNS = {
     + _VALUE
     + r"([A-Za-z0-9@+/_.-]+)",
     SECRET: r"(?i:private[_-]?key|client[_-]?key|access[_-]?key|pass|pwd|credential|bearer|signature)"
-    + _VALUE
-    + r"([A-Za-z0-9+/_.=~-]+)",
+    + r"""["']?\x20*[:=]\x20*"""
+    # A block between BEGIN and END, or what is quoted, is taken whole.
+    + r"""(["']?-----BEGIN [A-Z ]+-----[^-]*-----END [A-Z ]+-----|"[^"\n]{6,}"|'[^'\n]{6,}'|["']?[A-Za-z0-9+/_.=~-]+)""",
     ENDPOINT: r"""(?i:https?|ftps?|sftp|ssh|jdbc|mongodb|postgres|postgresql|mysql|redis|amqp|s3)://([^\x00-\x20"'<>]+)""",
-    BREAK: r"(\n[\x20\t\r]*\n)",
+    BREAK: r"(\n[\x20\t\r]*\n|\}[\x20\t\r\n,]*\{)",
 }
 LEAST = {ASSIGN: 6, ACCESS: 20, HEX: 24, IDENTIFIER: 3, SECRET: 6, ENDPOINT: 4, BREAK: 1}
 #: A text without any of these substrings has no match of the kind.
@@ -102,8 +100,8 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("row", "id", kind.alias("kind"), "start", "end")
 
 
-def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """``parts`` with ``reported``: base findings, and weak ones with complementary parts within reach."""
+def linked(found: DataFrame) -> DataFrame:
+    """``parts`` with ``reported``: base findings, and weak ones with complementary parts in their scope."""
     order = Window.partitionBy("row").orderBy("start", "kind", "end")
     scope = F.count(F.when(F.col("kind") == BREAK, 1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("scope", scope)
@@ -128,9 +126,7 @@ def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
         found = found.withColumn(f"{name}_after", F.min(F.when(member, F.col("start"))).over(after))
 
     def near(name: str) -> Column:
-        gap_before = F.col("start") - F.col(f"{name}_before")
-        gap_after = F.col(f"{name}_after") - F.col("end")
-        return F.coalesce(gap_before <= reach, F.lit(False)) | F.coalesce(gap_after <= reach, F.lit(False))
+        return F.col(f"{name}_before").isNotNull() | F.col(f"{name}_after").isNotNull()
 
     covered = F.coalesce(F.col("base_before") > F.col("start"), F.lit(False)) | F.coalesce(
         F.col("base_after") < F.col("end"), F.lit(False)
@@ -153,14 +149,14 @@ def _listed(spans: Column) -> Column:
     )
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, findings array of (start, kind, end)), one row per input row, by start and then kind.
 
     Offsets are code points of the whole text, the end exclusive; ``kind`` is a number in ``KINDS``.
     A null text counts as empty and has no findings. Null and repeated ids keep their rows, each
     judged alone. An empty table gives an empty result. Other columns aren't read.
     """
-    found = linked(parts(docs, id_col, text_col), reach)
+    found = linked(parts(docs, id_col, text_col))
     span = F.struct("start", "kind", "end")
     return (
         found.groupBy("row")
@@ -203,7 +199,7 @@ def _sql() -> str:
         "endpoint": f"kind = {ENDPOINT}",
     }
     near = {
-        g: f"(coalesce(s - {g}_before <= {REACH}, false) OR coalesce({g}_after - e <= {REACH}, false))" for g in groups
+        g: f"({g}_before IS NOT NULL OR {g}_after IS NOT NULL)" for g in groups
     }
     names = ", ".join(f"'{k}'" for k in KINDS)
     listed = "string_agg(list_value({names})[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e)".replace(
