@@ -44,6 +44,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         " rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit"
         " persons to whom the Software is furnished to do so, subject to the following conditions:",
     ),
+    (
+        "MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the"
+        " Software.",
+    ),
+    (
+        "MIT",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE'
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR"
+        " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
@@ -54,6 +66,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
         " following conditions are met:",
     ),
+    (
+        "BSD",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following"
+        " disclaimer.",
+    ),
+    (
+        "BSD",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following"
+        " disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0",
@@ -67,6 +89,34 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         " License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later"
         " version.",
     ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public"
+        " License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later"
+        " version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public"
+        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later"
+        " version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public"
+        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later"
+        " version.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is"
+        " available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "BSL-1.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at"
+        " http://www.boost.org/LICENSE_1_0.txt)",
+    ),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
