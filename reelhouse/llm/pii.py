@@ -15,7 +15,9 @@ that don't overlap, and don't overlap base spans, the one with the largest sum o
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -434,14 +436,17 @@ def _proposals(texts: list[str], tagger: Tagger) -> list[list[tuple[float, int,
 def _reconciled(proposed: list[tuple[float, int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The proposals that don't overlap each other or a base span and have the largest sum of scores."""
     best: dict[tuple[int, int, int], float] = {}
+    taken_up = sorted((a, b) for a, _, b in base)
+    starts, reach = [a for a, _ in taken_up], list(accumulate((b for _, b in taken_up), max))
     for score, a, kind, b in proposed:
-        if score > 0 and not any(s < b and a < e for s, _, e in base):
+        before = bisect_left(starts, b)  # base spans that begin before this one ends
+        if score > 0 and not (before and reach[before - 1] > a):
             best[a, kind, b] = max(score, best.get((a, kind, b), 0.0))
     spans = sorted(best, key=lambda s: s[2])
     ends = [s[2] for s in spans]
     sums, taken = [0.0], []
     for k, s in enumerate(spans):
-        j = int(np.searchsorted(ends[:k], s[0], side="right"))
+        j = bisect_right(ends, s[0], 0, k)
         with_it = sums[j] + best[s]
         taken.append((with_it > sums[-1], j))
         sums.append(max(sums[-1], with_it))
@@ -457,7 +462,9 @@ def _reconciled(proposed: list[tuple[float, int, int, int]], base: list[tuple[in
 #: What a number may look like: groups of digits, in an account number after two letters.
 _NUMBER = re.compile(r"(?:[A-Z]{2}(?=[0-9]{2}))?[0-9() ./+-]+")
 #: Digits that tell a day or a time, whatever follows.
-_STAMP = re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9-])|[0-9]{1,2}([/.])[0-9]{1,2}\2[0-9]{4}(?![0-9-])")
+_STAMP = re.compile(r"[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}(?![0-9])|[0-9]{1,2}([/.])[0-9]{1,2}\2[0-9]{4}(?![0-9])")
+#: What says that a number is a book's.
+_BOOK = re.compile(r"ISBN(?:-1[03])?:? ?$", re.IGNORECASE)
 #: An account number's further groups.
 _GROUPS = re.compile(r"(?: ?[0-9]{1,4})*(?![0-9])")
 
@@ -479,6 +486,16 @@ def _whole(text: str, a: int, kind: int, b: int) -> tuple[int, int, int]:
         a -= 1
     while a < b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
         b += 1
+    if kind > len(BASE) and a < b:
+        # Digits that dots and hyphens join are one number, as in a version.
+        while a > 1 and text[a].isdigit() and text[a - 1] in ".-" and text[a - 2].isdigit():
+            a -= 2
+            while a > 0 and text[a - 1].isdigit():
+                a -= 1
+        while b + 1 < len(text) and text[b - 1].isdigit() and text[b] in ".-" and text[b + 1].isdigit():
+            b += 2
+            while b < len(text) and text[b].isdigit():
+                b += 1
     if kind > len(BASE) and text[a : a + 2].isalpha():
         b = _GROUPS.match(text, b).end()
     return a, kind, b
@@ -493,6 +510,7 @@ def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
         near = []
         if more:
             more = [(s, a, k, b) for s, a, k, b in ((s, *_whole(text, a, k, b)) for s, a, k, b in more) if _worth(text[a:b], k)]
+            more = [m for m in more if not _BOOK.search(text[max(0, m[1] - 10) : m[1]])]
             low, high = min((m[1] for m in more), default=0), max((m[3] for m in more), default=0)
             near = _reconciled(more, [s for s in own if s[0] < high and s[2] > low])
         out.append((own, sorted(own + near)))

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelhouse.llm import conversations, exact, licenses, phrases, secrets, substring
+from reelhouse.llm import conversations, exact, licenses, phrases, pii, secrets, substring
 from tests.llm.test_llm import docs
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
@@ -351,3 +352,38 @@ def test_a_passage_that_is_everywhere_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+# 4: proposals in long texts, versions and books
+
+
+def test_reconciling_is_not_quadratic():
+    rng = random.Random(16)
+    proposed = [(rng.random(), a, 5, a + rng.randrange(5, 60)) for a in (rng.randrange(10**6) for _ in range(40_000))]
+    base = [(a, 2, a + 15) for a in range(0, 10**6, 50)]
+    start = time.perf_counter()
+    kept = pii._reconciled(proposed, base)
+    assert time.perf_counter() - start < 5
+    some = [p for p in proposed if p[1] < 3000]
+    assert all(x[2] <= y[0] for x, y in zip(kept, kept[1:])) and not any(a < e and s < b for a, _, b in kept for s, _, e in base[:200] if b < 10_000)
+    # The same as trying all sets, on a few.
+    for _ in range(200):
+        few = rng.sample(some, min(7, len(some)))
+        own = [b for b in base if b[0] < 3000 and rng.random() < 0.3]
+        fit = [p for p in few if not any(s < p[3] and p[1] < e for s, _, e in own)]
+        sums = [sum(p[0] for p in c) for k in range(len(fit) + 1) for c in itertools.combinations(fit, k) if all(x[3] <= y[1] or y[3] <= x[1] for x, y in itertools.combinations(c, 2))]
+        value = {p[1:]: p[0] for p in sorted(few)}
+        assert sum(value[s] for s in pii._reconciled(few, own)) == pytest.approx(max(sums))
+
+
+@pytest.mark.parametrize("text,part", [("build 2024.11.28-1234567 of it", "28-1234567"), ("ISBN 978-3-16-148410-0.", "978-3-16-148410-0"), ("isbn-13: 978-3-16-148410-0.", "16-148410")])
+def test_numbers_of_versions_and_books_are_none(monkeypatch, text, part):
+    a = text.index(part)
+    monkeypatch.setattr(pii, "_proposals", lambda texts, tagger: [[(1.0, a, len(pii.BASE) + 1, a + len(part))]])
+    assert pii.find([text], pii.Tagger([np.zeros(1)])) == [([], [])]
+
+
+def test_telephone_numbers_with_dots_are_whole(monkeypatch):
+    text = "call 030.555.1234567 now"
+    monkeypatch.setattr(pii, "_proposals", lambda texts, tagger: [[(1.0, 9, len(pii.BASE) + 1, 20)]])
+    assert pii.find([text], pii.Tagger([np.zeros(1)])) == [([], [(5, len(pii.BASE) + 1, 20)])]
