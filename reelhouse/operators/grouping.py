@@ -9,18 +9,19 @@ from ..config import Config
 from ..functions import dates, text
 from .components import components, hamming_links
 from .numbering import by_ranges
+from .state import checkpoint
 
 
 def exact_groups(files: DataFrame) -> DataFrame:
     """``files`` with keeper_id and n_same for each content_hash.
 
     The keeper is a file that is copied already, else the one modified first (unknown: 0), else the
-    one with the smallest id. An aggregation that combines before the shuffle finds it, and the
-    join back can be split, so content that a third of all files share isn't one task's work.
+    one with the smallest id. An aggregation that combines before the shuffle finds it. Its result is written, so that the
+    join back can be split, and content that a third of all files share isn't one task's work.
     """
     rank = F.struct((F.col("status") != "copied").alias("new"), F.coalesce("mtime", F.lit(0.0)).alias("mtime"), F.col("id").alias("id"))
     best = files.groupBy("content_hash").agg(F.min(rank)["id"].alias("keeper_id"), F.count("*").alias("n_same"))
-    return files.join(best, "content_hash")
+    return files.join(checkpoint(best), "content_hash")
 
 
 def companion_key() -> Column:
