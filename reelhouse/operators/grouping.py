@@ -65,7 +65,8 @@ def burst_or_review(members: DataFrame, cfg: Config) -> DataFrame:
     """
     timed = members.select("component", "camera", dates.exif_date(F.col("exif_date"), cfg).alias("t"))
     whole = (F.count("t") == F.count("*")) & (F.count("camera") == F.count("*")) & (F.min("camera") == F.max("camera"))
-    checked = timed.groupBy("component").agg(F.count("*").alias("n"), whole.alias("whole")).where("n >= 2")
+    # Written, so that a large component's rows can be split where they are joined with what is known of it.
+    checked = checkpoint(timed.groupBy("component").agg(F.count("*").alias("n"), whole.alias("whole")).where("n >= 2"))
     # Only components that can still be bursts are put in order.
     likely = timed.join(checked.where("whole").select("component"), "component", "left_semi").select("component", "t")
     gaps = widest_gaps(likely)
