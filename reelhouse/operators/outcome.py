@@ -47,11 +47,13 @@ def outcome_counts(routed: DataFrame) -> DataFrame:
     )
 
 
+#: Folder names that are a file's keywords, at most.
+KEYWORDS = 12
 #: Parts into which a keeper's folder names are dealt to find the first ones, and paths of a piece of its description.
 _PARTS, PIECE = 64, 1000
 
 
-def _origins(keepers: DataFrame, manifest: DataFrame) -> DataFrame:
+def origins(keepers: DataFrame, manifest: DataFrame) -> DataFrame:
     """(id, nth, rel) of each keeper itself (nth -1) and of its copies (nth: their ids)."""
     rel = F.coalesce("rel_path", F.lit(""))
     own = keepers.select("id", F.lit(-1).cast("long").alias("nth"), rel.alias("rel"))
@@ -59,7 +61,7 @@ def _origins(keepers: DataFrame, manifest: DataFrame) -> DataFrame:
     return own.unionByName(copies.join(keepers.select("id"), "id", "left_semi"))
 
 
-def first_folders(origins: DataFrame, most: int) -> DataFrame:
+def first_folders(origins: DataFrame, most: int = KEYWORDS) -> DataFrame:
     """(id, keywords): the first ``most`` distinct folder names of each id, in code-point order.
 
     Names are made distinct before and after a shuffle. The first ones of each part of an id's names are found, and of those
@@ -83,16 +85,16 @@ def description_pieces(origins: DataFrame, size: int = PIECE) -> DataFrame:
     return pieces.select("id", "piece", F.array_join(F.transform("rels", lambda r: r["rel"]), " | ").alias("line"))
 
 
-def provenance(keepers: DataFrame, manifest: DataFrame, cfg: Config, most: int = 12) -> DataFrame:
+def provenance(keepers: DataFrame, manifest: DataFrame, cfg: Config, most: int = KEYWORDS) -> DataFrame:
     """(id, keywords, description) of each keeper: folders of it and of its copies, and where they lay.
 
-    Keywords are the distinct folder names in code-point order, the first ``most`` of them. Copies come by id. The
-    description is one text, as the file that it is written to has one; it is put together from pieces.
+    Keywords are the distinct folder names in code-point order, the first ``most`` of them. Copies come by id. Here the
+    description is one text, put together from pieces; what writes it to files takes the pieces.
     """
-    origins = checkpoint(_origins(keepers, manifest))
-    pieces = description_pieces(origins).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "line"))).alias("lines"))
+    found = checkpoint(origins(keepers, manifest))
+    pieces = description_pieces(found).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "line"))).alias("lines"))
     joined = F.array_join(F.transform("lines", lambda p: p["line"]), " | ")
-    rows = keepers.select("id").join(first_folders(origins, most), "id", "left").join(pieces, "id", "left")
+    rows = keepers.select("id").join(first_folders(found, most), "id", "left").join(pieces, "id", "left")
     return rows.select(
         "id",
         F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
@@ -143,19 +145,25 @@ def applied(manifest: DataFrame, routed: DataFrame) -> DataFrame:
     return joined.select(*(new[c].alias(c) if c in new else manifest[c] for c in manifest.columns))
 
 
+#: The packet markers and namespaces of a sidecar file, around its description and its keywords.
+SIDECAR = (
+    '<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/">\n'
+    ' <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n'
+    '  <rdf:Description xmlns:dc="http://purl.org/dc/elements/1.1/">\n'
+    '   <dc:description><rdf:Alt><rdf:li xml:lang="x-default">',
+    "</rdf:li></rdf:Alt></dc:description>\n   <dc:subject><rdf:Bag>",
+    '</rdf:Bag></dc:subject>\n  </rdf:Description>\n </rdf:RDF>\n</x:xmpmeta>\n<?xpacket end="w"?>',
+)
+
+
+def sidecar_items(keywords: Column) -> Column:
+    return F.array_join(F.transform(keywords, lambda k: F.concat(F.lit("<rdf:li>"), text.escape_html(k), F.lit("</rdf:li>"))), "")
+
+
 def sidecar(description, keywords):
     """The text of an XMP sidecar file with a description and keywords, as a column."""
-    items = F.array_join(F.transform(keywords, lambda k: F.concat(F.lit("<rdf:li>"), text.escape_html(k), F.lit("</rdf:li>"))), "")
-    # The packet markers and namespaces of the format.
-    head = (
-        '<?xpacket begin="﻿" id="W5M0MpCehiHzreSzNTczkc9d"?>\n<x:xmpmeta xmlns:x="adobe:ns:meta/">\n'
-        ' <rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n'
-        '  <rdf:Description xmlns:dc="http://purl.org/dc/elements/1.1/">\n'
-        '   <dc:description><rdf:Alt><rdf:li xml:lang="x-default">'
-    )
-    middle = "</rdf:li></rdf:Alt></dc:description>\n   <dc:subject><rdf:Bag>"
-    tail = '</rdf:Bag></dc:subject>\n  </rdf:Description>\n </rdf:RDF>\n</x:xmpmeta>\n<?xpacket end="w"?>'
-    return F.concat(F.lit(head), text.escape_html(description), F.lit(middle), items, F.lit(tail))
+    head, middle, tail = map(F.lit, SIDECAR)
+    return F.concat(head, text.escape_html(description), middle, sidecar_items(keywords), tail)
 
 
 def embed_arguments(dest, description, keywords):

@@ -97,8 +97,9 @@ class Library:
         failed = copied.where("error IS NOT NULL").select("id")
         done = checkpoint(routed.join(failed, "id", "left_anti").select(*routed.columns))
         keepers = done.where("action = 'copy'")
-        told = keepers.join(outcome.provenance(keepers, manifest, self.cfg), "id").select("id", "dest_path", "ext", "keywords", "description")
-        sinks.write_provenance(told, self.cfg).count()
+        origins = checkpoint(outcome.origins(keepers, manifest))
+        told = keepers.select("id", "dest_path", "ext").join(outcome.first_folders(origins), "id", "left")
+        sinks.write_provenance(told, outcome.description_pieces(origins), self.cfg).count()
         self.store.write_files(outcome.applied(manifest, done))
         merged = sinks.merge_into_files(outcome.merge_jobs(done, manifest))
         notes = outcome.actions(done, run_id, now()).select("file_id", "action", "detail")

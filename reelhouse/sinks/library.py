@@ -6,6 +6,7 @@ step can be repeated: copies go to a name of their own and are renamed, and what
 
 from __future__ import annotations
 
+import html
 import os
 import shutil
 import subprocess
@@ -208,40 +209,76 @@ def copy_files(routed: DataFrame) -> DataFrame:
     return routed.select("id", "source_path", "dest_path").mapInPandas(run, "id bigint, error string")
 
 
-def write_provenance(copied: DataFrame, cfg: Config) -> DataFrame:
+def write_provenance(copied: DataFrame, pieces: DataFrame, cfg: Config) -> DataFrame:
     """(id, way): a sidecar beside files of formats that nothing is embedded in; exiftool embeds in the others.
 
-    ``copied``: id, dest_path, ext, keywords, description.
+    ``copied``: id, dest_path, ext, keywords. ``pieces``: id, piece, line, in order the parts of a description. A file's
+    pieces are read one after the other and passed on, to the sidecar or to the one exiftool of the partition, so no
+    description is ever held as a whole.
     """
-    embeds = outcome.way(F.col("ext"), cfg) == "embedded"
-    rows = copied.select(
+    words = F.coalesce("keywords", F.array().cast("array<string>"))
+    head, middle, tail = outcome.SIDECAR
+    files = copied.select(
         "id",
         "dest_path",
-        F.when(~embeds, outcome.sidecar(F.col("description"), F.col("keywords"))).alias("sidecar"),
-        F.when(embeds, F.array_join(outcome.embed_arguments(F.col("dest_path"), F.col("description"), F.col("keywords")), "\n")).alias("lines"),
+        outcome.way(F.col("ext"), cfg).alias("way"),
+        outcome.sidecar_items(words).alias("items"),
+        F.array_join(F.transform(words, lambda k: F.concat(F.lit("-XMP-dc:Subject="), k, F.lit("\n"))), "").alias("subjects"),
     )
+    rows = files.join(pieces, "id", "left")
+    line = F.coalesce("line", F.lit(""))
+    rows = rows.withColumn("line", F.when(F.col("way") == "sidecar", text.escape_html(line)).otherwise(line))
+    rows = rows.repartition("id").sortWithinPartitions("id", "piece").select("id", "dest_path", "way", "items", "subjects", "line")
+    prefix = cfg.provenance_prefix
+    escaped = html.escape(prefix)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool, tried, out, own = None, False, None, None
+
+        def end() -> None:
+            if own is None or out is None:
+                return
+            if own.way == "embedded":
+                out.write(f"\n{own.subjects}{own.dest_path}\n-execute\n")
+            else:
+                out.write(middle + own.items + tail)
+                out.close()
+                os.replace(f"{own.dest_path}.xmp.part", f"{own.dest_path}.xmp")
+
         for batch in batches:
-            ways = []
-            for dest, sidecar in zip(batch["dest_path"], batch["sidecar"]):
-                if sidecar is not None:
-                    Path(dest + ".xmp").write_text(sidecar, encoding="utf-8")
-                ways.append("embedded" if sidecar is None else "sidecar")
-            lines = [x for x in batch["lines"] if x is not None]
-            if lines:
-                embed(lines)
-            yield pd.DataFrame({"id": batch["id"], "way": ways})
+            done = []
+            for row in batch.itertuples(index=False):
+                if own is not None and row.id == own.id:
+                    if out is not None:
+                        out.write(" | " + row.line)
+                    continue
+                end()
+                own, out = row, None
+                if row.way == "sidecar":
+                    out = open(f"{row.dest_path}.xmp.part", "w", encoding="utf-8", newline="")
+                    out.write(head + escaped + row.line)
+                else:
+                    if not tried:
+                        tool, tried = _exiftool(), True
+                    if tool is not None:
+                        out = tool.stdin
+                        out.write(f"-overwrite_original\n-XMP-dc:Description={prefix}{row.line}")
+                done.append((row.id, row.way))
+            yield pd.DataFrame(done, columns=["id", "way"])
+        end()
+        if tool is not None:
+            tool.stdin.close()
+            tool.wait()
 
     return rows.mapInPandas(run, "id bigint, way string")
 
 
-def embed(lines: list[str]) -> bool:
-    """Run one exiftool over many files' arguments; False where it isn't installed."""
+def _exiftool() -> subprocess.Popen | None:
+    """An exiftool that reads arguments line by line; none where it isn't installed."""
     if shutil.which("exiftool") is None:
-        return False
-    subprocess.run(["exiftool", "-@", "-", "-charset", "filename=utf8"], input="\n".join(lines) + "\n", capture_output=True, text=True)
-    return True
+        return None
+    command = ["exiftool", "-@", "-", "-charset", "filename=utf8"]
+    return subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, text=True, encoding="utf-8")
 
 
 def merge_into_files(jobs: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def test_provenance_of_a_keeper_with_many_copies(spark, many_ranges):
     assert told[1]["description"] == "from: " + " | ".join(rels)
     assert told[1]["keywords"] == sorted({p for r in rels for p in r.split("/")[:-1]})[:12]
     assert told[10**9]["description"] == "from: " and told[10**9]["keywords"] == []
-    pieces = outcome.description_pieces(outcome._origins(keepers, files), 700).collect()
+    pieces = outcome.description_pieces(outcome.origins(keepers, files), 700).collect()
     assert max(p["line"].count(" | ") for p in pieces) == 699 and {p["piece"] for p in pieces} == set(range(len(pieces)))
 
 
@@ -339,11 +339,17 @@ def test_metadata_is_read_in_batches(spark, exiftool):
 
 
 def test_provenance_is_embedded_and_metadata_merged(spark, exiftool, tmp_path):
-    told = [(1, f"{tmp_path}/a.jpg", ".jpg", ["k1", "k2"], "d1"), (2, f"{tmp_path}/b.cr2", ".cr2", ["k"], "d2")]
-    df = spark.createDataFrame(told, "id bigint, dest_path string, ext string, keywords array<string>, description string").repartition(1)
-    assert {tuple(r) for r in sinks.write_provenance(df, Config()).collect()} == {(1, "embedded"), (2, "sidecar")}
-    assert "d2" in (tmp_path / "b.cr2.xmp").read_text("utf-8") and not (tmp_path / "a.jpg.xmp").exists()
-    assert exiftool() == [["-overwrite_original", "-XMP-dc:Description=d1", "-XMP-dc:Subject=k1", "-XMP-dc:Subject=k2", f"{tmp_path}/a.jpg", "-execute"]]
+    told = [(1, f"{tmp_path}/a.jpg", ".jpg", ["k1", "k2"]), (2, f"{tmp_path}/b.cr2", ".cr2", ["k&"]), (3, f"{tmp_path}/c.cr2", ".cr2", None)]
+    copied = spark.createDataFrame(told, "id bigint, dest_path string, ext string, keywords array<string>")
+    pieces = spark.createDataFrame([(2, 1, "z"), (1, 0, "x/a.jpg"), (2, 0, "<y>")], "id bigint, piece bigint, line string")
+    cfg = Config(provenance_prefix="from & ")
+    assert {tuple(r) for r in sinks.write_provenance(copied, pieces, cfg).collect()} == {(1, "embedded"), (2, "sidecar"), (3, "sidecar")}
+    column = outcome.sidecar(F.col("d"), F.col("k"))
+    for name, description, keywords in (("b", "from & <y> | z", ["k&"]), ("c", "from & ", [])):
+        want = spark.createDataFrame([(description, keywords)], "d string, k array<string>").select(column).first()[0]
+        assert (tmp_path / f"{name}.cr2.xmp").read_text("utf-8") == want
+    assert sorted(p.name for p in tmp_path.glob("*.cr2*")) == ["b.cr2.xmp", "c.cr2.xmp"]
+    assert exiftool() == [["-overwrite_original", "-XMP-dc:Description=from & x/a.jpg", "-XMP-dc:Subject=k1", "-XMP-dc:Subject=k2", f"{tmp_path}/a.jpg", "-execute"]]
     jobs = spark.createDataFrame([(1, 2, "/s/donor.jpg", "/lib/keeper.jpg")], "keeper_id bigint, donor_id bigint, donor_path string, keeper_dest string")
     assert [tuple(r) for r in sinks.merge_into_files(jobs).collect()] == [(1, 2)]
     assert exiftool()[-1] == ["-overwrite_original", "-wm", "cg", "-tagsfromfile", "/s/donor.jpg", "-all:all", "/lib/keeper.jpg"]
