@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import importable_on_workers
+
 #: Rows and columns of the grey values that a picture is scaled to, and of the frequencies that are kept.
 SIDE, KEPT = 32, 8
 
@@ -34,6 +36,7 @@ def hex_hashes(grey: np.ndarray) -> list[str]:
 
 def hash_column(grey: Column, side: int) -> Column:
     """The hash in hex of an array of ``side`` * ``side`` grey values, row by row; null for an array that is null, shorter, longer, or has a null."""
+    importable_on_workers(SparkSession.active())
 
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hamming
-from .state import checkpoint
+from .state import checkpoint, importable_on_workers
 
 #: Hashes at home in a leaf, and visitors of a task; levels of the trees that are made at a time; hashes of a node's sample, about.
 LEAF, VISITORS, DEPTH, SAMPLE = 4096, 32768, 5, 2048
@@ -215,6 +215,7 @@ def searched(hashes: DataFrame, radius: int, column: str = "h", leaf: int = LEAF
 
     Rows without ``a`` and ``b`` tell how many comparisons a task made. Null hashes are left out, equal ones are one.
     """
+    importable_on_workers(hashes.sparkSession)
     leaves = _leaves(hashes, radius, column, leaf)
     counts = leaves.groupBy("node").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).where("homes > 0")
     blocks = F.ceil(F.col("homes") / leaf).cast("int").alias("p"), F.ceil(F.col("guests") / visitors).cast("int").alias("q")

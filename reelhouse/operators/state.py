@@ -1,10 +1,21 @@
-"""Cutting a plan where its rows are written."""
+"""Where plans are cut, and what Python workers need to know."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def importable_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package when they start in another directory than the driver."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([root, *parts])
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

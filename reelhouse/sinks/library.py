@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text
 from ..operators import outcome, review
-from ..operators.state import checkpoint
+from ..operators.state import checkpoint, importable_on_workers
 from ..schema import DECISIONS
 
 
@@ -200,6 +200,7 @@ def _copy(source: str, target: str) -> str | None:
 
 def copy_files(routed: DataFrame) -> DataFrame:
     """(id, error): copy source_path to dest_path where there is no file yet; the source is never changed."""
+    importable_on_workers(routed.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -216,6 +217,7 @@ def write_provenance(copied: DataFrame, pieces: DataFrame, cfg: Config) -> DataF
     pieces are read one after the other and passed on, to the sidecar or to the one exiftool of the partition, so no
     description is ever held as a whole.
     """
+    importable_on_workers(copied.sparkSession)
     words = F.coalesce("keywords", F.array().cast("array<string>"))
     head, middle, tail = outcome.SIDECAR
     files = copied.select(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import phash, text
-from ..operators.state import checkpoint
+from ..operators.state import checkpoint, importable_on_workers
 
 WALKED = "source_path string, source_root string, rel_path string, size bigint, mtime double, root_position int"
 HASHED = "source_path string, content_hash string, error string"
@@ -88,6 +88,7 @@ def listed(spark: SparkSession, roots: list[tuple[str, int]], step: int = _STEP)
     folders until it has seen ``step`` entries, and the folders that it hasn't come to are the next round's. So a deep or
     large folder is soon many tasks' work, and a small tree takes one round. Every round is written.
     """
+    importable_on_workers(spark)
     found = []
     frontier = spark.createDataFrame([(root, position, root) for root, position in roots], "root string, position int, folder string")
     most = 4 * spark.sparkContext.defaultParallelism
@@ -130,6 +131,7 @@ def blake2b(path: str) -> str:
 
 def content_hashes(paths: DataFrame) -> DataFrame:
     """(source_path, content_hash, error): a file that can't be read has an error instead of a hash."""
+    importable_on_workers(paths.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -186,6 +188,9 @@ def pending_images(manifest: DataFrame) -> DataFrame:
 
 
 def perceptual_hashes(paths: DataFrame) -> DataFrame:
+    """(source_path, phash), null where there is none."""
+    importable_on_workers(paths.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"source_path": batch["source_path"], "phash": [perceptual_hash(p) for p in batch["source_path"]]})
@@ -208,6 +213,7 @@ def metadata(paths: DataFrame, cfg: Config) -> DataFrame:
 
     A batch that fails, or a missing exiftool, gives no rows: its files keep what the manifest has.
     """
+    importable_on_workers(paths.sparkSession)
     size = cfg.exiftool_batch
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.review import FOLDED, click, merged_rows
+from ..operators.state import importable_on_workers
 
 
 def first_arrivals(files: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -32,6 +33,7 @@ def follow_clicks(clicks: DataFrame) -> DataFrame:
     Clicks: group_id, seq, file_id, action, files (all ids of the group). Output rows as in ``FOLDED``,
     the whole group's each time it changes.
     """
+    importable_on_workers(clicks.sparkSession)
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ids, kinds, donor = state.get if state.exists else ([], [], None)
