@@ -118,11 +118,13 @@ def _windows(window: int):
 def _repeated(found: DataFrame) -> DataFrame:
     """``found`` (anchor, block, doc, place, ...) with ``first``, the earliest (doc, place) of the row's block.
 
-    The earliest places are written first: a join whose one side comes straight from an aggregation can't be split, and
-    a block that is everywhere would be one task's work.
+    The earliest places of blocks that come again are written first: a join whose one side comes straight from an
+    aggregation can't be split, and a block that is everywhere would be one task's work.
     """
-    first = found.groupBy("anchor", "block").agg(F.min(F.struct("doc", "place")).alias("first"))
-    return found.join(common.checkpoint(first), ["anchor", "block"])
+    place = F.struct("doc", "place")
+    first = found.groupBy("anchor", "block").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    joined = found.join(common.checkpoint(first), ["anchor", "block"], "left")
+    return joined.withColumn("first", F.coalesce("_first", place)).drop("_first")
 
 
 def _is_first() -> Column:
