@@ -371,3 +371,17 @@ def test_no_thumbnails_without_the_library(spark, tmp_path):
         (tmp_path / "1.jpg").write_text("made before")
         rows = spark.createDataFrame([(1, "/s/1.jpg"), (2, "/s/2.jpg")], "id bigint, source_path string")
         assert [r["id"] for r in sinks.make_thumbnails(rows, str(tmp_path)).collect()] == [1]
+
+
+def test_decision_files_are_read_by_their_header(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    text = 'decision,file_id,note,source_path,merge_from_file_id\r\n Keep ,1,x,"a ""b"", c\r\nd é",\r\nskip,2,,plain,7\r\n,3\r\nskip,1,x,y,z\r\n'
+    path.write_bytes(text.encode())
+    rows = decision_files.read_decisions(spark, str(path)).orderBy("line").collect()
+    with path.open(newline="", encoding="utf-8") as f:
+        want = [{c: (r.get(c) or "").replace("\r\n", "\n") for c in ("group_id", "file_id", "source_path", "decision", "merge_from_file_id")} for r in csv.DictReader(f)]
+    assert [{c: r[c] for c in w} for r, w in zip(rows, want)] == want and len(rows) == 4
+    assert {tuple(r) for r in review.accepted_decisions(decision_files.read_decisions(spark, str(path)).where("file_id = 2")).collect()} == {(2, "skip", 7)}
+    path.write_text("")
+    assert decision_files.read_decisions(spark, str(path)).count() == 0
+    assert decision_files.read_decisions(spark, None).count() == decision_files.read_decisions(spark, str(tmp_path / "no")).count() == 0
