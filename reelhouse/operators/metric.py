@@ -25,7 +25,8 @@ from ..functions.text import hamming
 from .state import checkpoint, importable_on_workers
 
 #: Hashes at home in a leaf, and visitors of a task; levels of the trees that are made at a time; hashes of a node's sample, about.
-LEAF, VISITORS, DEPTH, SAMPLE = 4096, 32768, 5, 2048
+#: A task compares some hundred million pairs at most, and smaller leaves would mean more visits.
+LEAF, VISITORS, DEPTH, SAMPLE = 1 << 15, 1 << 15, 5, 2048
 #: Hashes that are compared with each other without a further vantage point, and the share of comparisons that one must leave at most.
 _FEW, WORTH = 48, 0.99
 
@@ -55,14 +56,15 @@ def _cut(d: np.ndarray, radius: int, least: int = 1) -> tuple[int, float]:
     return best, float(left[best])
 
 
-def _fit(node: str, hashes: np.ndarray, radius: int) -> tuple[str, list[int], list[int]]:
-    """A complete tree in the order of a heap; a node whose hashes can't be parted has everything inside."""
+def _fit(node: str, hashes: np.ndarray, radius: int, most: float) -> tuple[str, list[int], list[int]]:
+    """A complete tree in the order of a heap. A node with no more than ``most`` of the sample isn't parted: all is inside."""
     size = (1 << DEPTH) - 1
-    vantage, radii = [0] * size, [64] * size
+    vantage, radii = [0] * size, [128] * size
     held = {0: hashes}
     for k in range(size):
         own = held.pop(k, hashes[:0])
-        if len(own) < 2:
+        if len(own) <= max(1, most):
+            held[2 * k + 1] = own
             continue
         # Of a few vantage points, the one that leaves the fewest comparisons.
         tried = own[:: max(1, len(own) // 8)][:8]
@@ -77,9 +79,10 @@ def _fit(node: str, hashes: np.ndarray, radius: int) -> tuple[str, list[int], li
     return node, vantage, radii
 
 
-def _fitted(radius: int):
+def _fitted(radius: int, leaf: int):
     def run(samples: pa.Table) -> pa.Table:
-        node, vantage, radii = _fit(samples["node"][0].as_py(), np.sort(samples["h"].to_numpy()).view(np.uint64), radius)
+        most = samples.num_rows * leaf / samples["n"][0].as_py()
+        node, vantage, radii = _fit(samples["node"][0].as_py(), np.sort(samples["h"].to_numpy()).view(np.uint64), radius, most)
         return pa.table({"node": [node], "vantage": pa.array([vantage], pa.list_(pa.int64())), "radius": pa.array([radii], pa.list_(pa.int32()))})
 
     return run
@@ -204,8 +207,8 @@ def _leaves(hashes: DataFrame, radius: int, column: str, leaf: int) -> DataFrame
         if large.isEmpty():
             return reduce(DataFrame.unionByName, [*done, rows])
         drawn = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) * F.col("n") <= (1 << 30) * SAMPLE
-        sample = rows.where("home").join(large, "node").where(drawn).select("node", "h")
-        trees = checkpoint(sample.groupBy("node").applyInArrow(_fitted(radius), _TREES))
+        sample = rows.where("home").join(large, "node").where(drawn).select("node", "n", "h")
+        trees = checkpoint(sample.groupBy("node").applyInArrow(_fitted(radius, leaf), _TREES))
         done.append(rows.join(trees.select("node"), "node", "left_anti"))
         rows, parents = checkpoint(_routed(rows, trees, radius)), large
 
