@@ -64,6 +64,19 @@ def hamming_links(hashes: DataFrame, radius: int, column: str = "h", parts: int
     return left.join(right, pair).select("a", "b", distance.alias("distance"))
 
 
+def hamming_components(hashes: DataFrame, radius: int, column: str = "h") -> DataFrame:
+    """(node, component): the smallest hash that links of at most ``radius`` bits lead to, for every hash.
+
+    Beyond ``KEYED`` bits tasks pass on forests of the links that they find, so what is joined grows with the hashes, not with the links.
+    """
+    nodes = hashes.select(F.col(column).alias("node")).where("node IS NOT NULL")
+    if radius > KEYED:
+        links = metric.searched(nodes, radius, "node", forest=True).where("a IS NOT NULL")
+    else:
+        links = hamming_links(nodes, radius, "node")
+    return components(links, nodes)
+
+
 def components(links: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that links lead to. ``nodes`` (column ``node``) adds those without links.
 

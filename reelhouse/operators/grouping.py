@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import dates, text
-from .components import components, hamming_links
+from .components import hamming_components
 from .numbering import by_ranges
 from .state import checkpoint
 
@@ -53,7 +53,7 @@ def similar_images(keepers: DataFrame, threshold: int) -> DataFrame:
     Images with the same hash are one node; those without neighbours are their own component.
     """
     images = keepers.where("kind = 'image'").select("id", text.hash_bits(F.col("phash")).alias("node")).where("node IS NOT NULL")
-    joined = components(hamming_links(images, threshold, "node"), images)
+    joined = hamming_components(images, threshold, "node")
     return images.join(joined, "node").select("id", "component")
 
 

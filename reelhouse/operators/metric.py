@@ -25,8 +25,9 @@ from ..functions.text import hamming
 from .state import checkpoint, importable_on_workers
 
 #: Hashes at home in a leaf, and visitors of a task; levels of the trees that are made at a time; hashes of a node's sample, about.
-#: A task compares some hundred million pairs at most, and smaller leaves would mean more visits.
-LEAF, VISITORS, DEPTH, SAMPLE = 1 << 15, 1 << 15, 5, 2048
+#: A leaf's links are held by its task, so leaves are small where all are listed; where a forest of them is enough, larger leaves make fewer visits.
+LEAF, VISITORS, DEPTH, SAMPLE = 1 << 12, 1 << 13, 5, 2048
+FOREST_LEAF = 1 << 15
 #: Hashes that are compared with each other without a further vantage point, and the share of comparisons that one must leave at most.
 _FEW, WORTH = 48, 0.99
 
@@ -175,13 +176,43 @@ def _among(homes: np.ndarray, radius: int, found: list) -> int:
     return done
 
 
-def _search(radius: int):
+class _Forest:
+    """Takes links as a list does, and keeps those that join two trees of what was kept before."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes, self.kept = np.unique(hashes), []
+        self.parent = list(range(len(self.hashes)))
+
+    def _root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def append(self, links: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        if not len(links[0]):
+            return
+        a, b = (np.searchsorted(self.hashes, links[k]) for k in (0, 1))
+        root = np.array(self.parent)
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+        kept = []
+        for k in np.flatnonzero(root[a] != root[b]).tolist():
+            p, q = self._root(int(a[k])), self._root(int(b[k]))
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                kept.append(k)
+        self.kept.append(tuple(x[kept] for x in links))
+
+
+def _search(radius: int, forest: bool):
     def run(table: pa.Table) -> pa.Table:
         h, role = table["h"].to_numpy().view(np.uint64), table["role"].to_numpy()
-        found: list = []
+        found = _Forest(h) if forest else []
         homes, others = np.sort(h[role == 0]), np.sort(h[role == 1])
         done = _cross(homes, others, radius, found) if table["job"][0].as_py() else _among(homes, radius, found)
-        x, y, d = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64) for k in range(3))
+        kept = found.kept if forest else found
+        x, y, d = (np.concatenate([f[k] for f in kept]) if kept else np.zeros(0, np.uint64) for k in range(3))
         x, y = x.view(np.int64), y.view(np.int64)
         columns = np.minimum(x, y), np.maximum(x, y), d.astype(np.int32)
         kinds = (pa.int64(), pa.int64(), pa.int32())
@@ -213,12 +244,16 @@ def _leaves(hashes: DataFrame, radius: int, column: str, leaf: int) -> DataFrame
         rows, parents = checkpoint(_routed(rows, trees, radius)), large
 
 
-def searched(hashes: DataFrame, radius: int, column: str = "h", leaf: int = LEAF, visitors: int = VISITORS) -> DataFrame:
+def searched(
+    hashes: DataFrame, radius: int, column: str = "h", forest: bool = False, leaf: int | None = None, visitors: int = VISITORS
+) -> DataFrame:
     """Rows of ``PAIRS``: all pairs of different hashes within the radius, a < b, each once.
 
-    Rows without ``a`` and ``b`` tell how many comparisons a task made. Null hashes are left out, equal ones are one.
+    ``forest``: of the pairs that a task finds, only those that join what isn't joined yet, which is enough for
+    components. Rows without ``a`` and ``b`` tell how many comparisons a task made. Null hashes are left out, equal ones are one.
     """
     importable_on_workers(hashes.sparkSession)
+    leaf = leaf or (FOREST_LEAF if forest else LEAF)
     leaves = _leaves(hashes, radius, column, leaf)
     counts = leaves.groupBy("node").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests")).where("homes > 0")
     blocks = F.ceil(F.col("homes") / leaf).cast("int").alias("p"), F.ceil(F.col("guests") / visitors).cast("int").alias("q")
@@ -238,4 +273,4 @@ def searched(hashes: DataFrame, radius: int, column: str = "h", leaf: int = LEAF
     visits = F.transform(each("p"), lambda k: job(2, k, guest, 1))
     jobs = F.when(F.col("home"), F.concat(among, met)).otherwise(visits)
     rows = dealt.select("node", "h", F.explode(jobs).alias("to")).select("node", "h", "to.*")
-    return rows.groupBy("node", "job", "i", "j").applyInArrow(_search(radius), PAIRS)
+    return rows.groupBy("node", "job", "i", "j").applyInArrow(_search(radius, forest), PAIRS)

@@ -302,8 +302,7 @@ def hamming_edges_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT node, min(root) AS component FROM reach GROUP BY node""",
 )
 def near_dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashes = sign_hashes(spark, sf_dir)
-    return graph.components(graph.hamming_links(hashes, WIDE), hashes.withColumnRenamed("h", "node"))
+    return graph.hamming_components(sign_hashes(spark, sf_dir), WIDE)
 
 
 _MEMBERS_SQL = """members AS (SELECT id, source_path, user_id, exif_date, camera, id // 3 AS component FROM (

@@ -83,6 +83,27 @@ def test_metric_tree_finds_every_link_once(spark, case):
         assert compared < 0.7 * len(np.unique(hashes)) ** 2 / 2
 
 
+@pytest.mark.parametrize("sizes", [{}, {"leaf": 60, "visitors": 70}])
+def test_forests_join_what_links_join(spark, sizes):
+    hashes, radius = np.concatenate([cluster(20), noisy(np.random.default_rng(3), np.uint64(5), 6, 150)]), 14
+    df = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)], "h bigint")
+    links = slow_links(hashes, radius)
+    rows = metric.searched(df, radius, forest=True, **sizes).where("a IS NOT NULL")
+    found = {tuple(r)[:3] for r in rows.collect()}
+    assert found <= links and len(found) < len(links) / 2
+    root = {int(h): int(h) for h in hashes.view(np.int64)}
+    for _ in root:
+        before = dict(root)
+        for a, b, _ in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    nodes = df.withColumnRenamed("h", "node")
+    assert {tuple(r) for r in components.components(rows, nodes).collect()} == set(root.items())
+    if not sizes:
+        assert {tuple(r) for r in components.hamming_components(df, radius).collect()} == set(root.items())
+
+
 def test_links_at_every_radius_are_alike(spark):
     hashes = cluster(8)
     df = spark.createDataFrame([(int(h),) for h in hashes.view(np.int64)], "h bigint")
