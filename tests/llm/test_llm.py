@@ -642,6 +642,27 @@ def test_near_duplicates_in_mixed_buckets():
     assert groups(got) == groups(every) and len(got) < 60
 
 
+def test_near_duplicates_by_pivot_tables():
+    """Fingerprints are those of op8 over sets; pivots discard no pair within the radius, and some beyond it."""
+    rng = np.random.default_rng(21)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (0, 1, 2, 5, 70_000, 300, 0)]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    want = [sum(1 << b for b in range(64) if int((x >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(x)) for x in sets]
+    assert alike.fingerprints(np.concatenate(sets), offsets).tolist() == want
+    base = rng.integers(0, 2**64, 6, np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in rng.integers(0, 9, 240)]
+    prints = np.repeat(base, 40) ^ np.array(flips, np.uint64)
+    table = alike.pivot_table(prints)
+    others = np.arange(240)
+    left = 0
+    for i in range(240):
+        within = np.flatnonzero(np.bitwise_count(prints ^ prints[i]) <= alike.RADIUS)
+        assert alike.near(prints, table, i, others).tolist() == within.tolist()
+        left += int((np.abs(table - table[i]).max(axis=1) <= alike.RADIUS).sum())
+    assert left < 0.9 * 240**2
+    assert {b for _, b in alike.nearest(prints)} >= set(range(240)) - set(range(0, 240, 40)) - {0}
+
+
 def test_pipeline_drops_near_copies(spark, tmp_path):
     rng = random.Random(18)
     text = prose(rng, 200).split()
