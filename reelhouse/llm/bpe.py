@@ -6,8 +6,8 @@ that are not empty, so find-first-set on one word of each level gives the next r
 does not search the queue for the pairs it destroys: their entries stay and are skipped as stale
 when they come up. The work is O(n log n) in a pre-token's length (the logarithm from keeping
 the positions of one bucket in order), so a pre-token of a hundred thousand bytes costs no more
-for each byte than a short one. Short pre-tokens that are new to a worker share one queue, so that a bucket's
-merges are array operations over many of them.
+for each byte than a short one. The short pre-tokens of many texts share one queue, so that a bucket's
+merges are array operations over many of them; each different one is encoded once for those texts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ from . import common
 REMEMBERED = {"tokens": 150_000, "words": 150_000, "spans": 20_000}
 LONGEST = 48
 #: Characters of text whose new pre-tokens are encoded together.
-AT_ONCE = 4 << 20
+AT_ONCE = 16 << 20
+#: Of a word of letters, these and a line feed between or after them are pre-tokens of their own.
+_SIGNS = ".,;:!?"
+_TWO_LINES = rf"\A(?P<a>\pL+[{_SIGNS}]*)\n(?P<b>\pL+[{_SIGNS}]*)\z"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,55 +73,67 @@ class Merges:
         size = max(ranks.values(), default=0) + 1
         self.no_id = size  # of what lies beyond a pre-token
         pairs = sorted(((key >> _SHIFT) * (size + 1) + (key & (1 << _SHIFT) - 1), rank) for key, rank in self.joined.items())
-        self.pair_keys, self.pair_ranks = np.array(pairs or [(-1, -1)], np.int64).T.copy()
+        self.pair_keys, self.pair_ranks = np.array([*pairs, (1 << 62, -1)], np.int64).T.copy()
+        single = np.array(self.single, np.int64)
+        #: Rank of two adjacent bytes joined.
+        self.bytes_joined = np.where((single[:, None] < 0) | (single < 0), -1, self.ranks_of(single[:, None], single))
         self.leaves = [0] * ((size >> 8) + 1)  # all zero between pre-tokens
         self.heads = [-1] * size  # all -1 between pre-tokens
 
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each two ids joined, -1 where they don't join."""
-        keys = left * (self.no_id + 1) + right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return self.found(left * (self.no_id + 1) + right)
+
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        at = self.pair_keys.searchsorted(keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
 
 def encode_pieces(pieces: list[bytes], merges: Merges) -> list[bytes]:
-    """Packed ids of many short pre-tokens by one queue, which holds the positions of all of them.
+    """Packed ids of many short pre-tokens."""
+    packed, cuts = encode_bytes(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64), merges)
+    cuts = cuts.tolist()
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def encode_bytes(data: np.ndarray, lengths: np.ndarray, merges: Merges) -> tuple[bytes, np.ndarray]:
+    """Packed ids of many short pre-tokens by one queue, which holds the positions of all of them, and the offsets of each one's.
 
     A bucket is taken whole, and of each pre-token its first position that isn't stale is merged, for all
     pre-tokens at once; the others go back, as the merge may have made a pair of a lower rank. So each
     pre-token's merges come in the order in which ``encode_piece`` makes them.
     """
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    lengths = np.array([len(p) for p in pieces], np.int64)
     n, beyond = len(data), merges.no_id
     ids = np.append(np.array(merges.single, np.int64)[data], beyond)
     if (ids < 0).any():
         raise KeyError("a byte that isn't in the vocabulary")
-    owner = np.repeat(np.arange(len(pieces)), lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     after, before = np.arange(1, n + 2), np.arange(-1, n)
     ends = np.cumsum(lengths)
     after[ends - 1] = before[ends - lengths] = after[n] = n
-    pair_rank = np.append(merges.ranks_of(ids[:n], ids[after[:n]]), -1)
+    pair_rank = np.full(n + 1, -1)
+    inner = np.flatnonzero(after[:n] < n)
+    pair_rank[inner] = merges.bytes_joined[data[inner], data[inner + 1]]
     alive = np.ones(n, bool)
     leaves, bit = merges.leaves, _BIT
     top = 0
     buckets: dict[int, list[np.ndarray]] = {}
     ranks, at = pair_rank[:n], np.arange(n)
     while True:
-        at = at[ranks >= 0]
-        ranks = ranks[ranks >= 0]
-        order = np.argsort(ranks, kind="stable")
-        ranks, at = ranks[order], at[order]
-        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
-        for rank, a, b in zip(ranks[cuts[:-1]].tolist() if len(ranks) else (), cuts, cuts[1:]):
-            if rank in buckets:
-                buckets[rank].append(at[a:b])
-            else:
-                buckets[rank] = [at[a:b]]
-                word = rank >> 8
-                leaves[word] |= bit[rank & 255]
-                top |= bit[word]
+        if len(at := at[(new := ranks >= 0)]):
+            ranks = ranks[new]
+            order = ranks.argsort(kind="stable")
+            ranks, at = ranks[order], at[order]
+            cuts = [0, *((ranks[1:] != ranks[:-1]).nonzero()[0] + 1).tolist(), len(ranks)]
+            for rank, a, b in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                if rank in buckets:
+                    buckets[rank].append(at[a:b])
+                else:
+                    buckets[rank] = [at[a:b]]
+                    word = rank >> 8
+                    leaves[word] |= bit[rank & 255]
+                    top |= bit[word]
         if not top:
             break
         word = (top & -top).bit_length() - 1
@@ -129,7 +144,9 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[bytes]:
         leaves[word] = bits = bits & bits - 1
         if not bits:
             top ^= bit[word]
-        at = at[pair_rank[at] == rank]  # the others are stale
+        ranks = at = at[pair_rank[at] == rank]  # the others are stale
+        if not len(at):
+            continue
         if len(at) > 1:
             at = np.sort(at)
             of = owner[at]
@@ -146,13 +163,12 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[bytes]:
         pair_rank[middle] = -1
         ids[at], after[at], before[end] = rank, end, at
         left = before[at]
-        pair_rank[at] = right_rank = merges.ranks_of(rank, ids[end])
-        pair_rank[left] = left_rank = merges.ranks_of(ids[left], rank)
+        ranks = merges.found(np.concatenate([rank * (beyond + 1) + ids[end], ids[left] * (beyond + 1) + rank]))
+        at = np.concatenate([at, left])
+        pair_rank[at] = ranks
         pair_rank[n] = -1
-        ranks, at = np.concatenate([right_rank, left_rank]), np.concatenate([at, left])
     packed = ids[:n][alive].astype("<u4").tobytes()
-    cuts = [0, *(np.cumsum(np.bincount(owner[alive], minlength=len(pieces))) * 4).tolist()]
-    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+    return packed, np.concatenate([[0], np.cumsum(np.bincount(owner[alive], minlength=len(lengths))) * 4])
 
 
 def encode_piece(piece: bytes, merges: Merges) -> list[int]:
@@ -312,6 +328,42 @@ class Codec:
         token = self.tokens.__getitem__
         self.words.update((x, b"".join(map(token, tokens))) for x, tokens in cut.items())
 
+    def _letters(self, tokens: pa.Array) -> pa.Array:
+        """The packed ids of different short pre-tokens."""
+        edges, data = _bytes_of(tokens.cast(pa.large_binary()))
+        packed, cuts = encode_bytes(np.frombuffer(data, np.uint8), np.diff(edges), self.merges)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(tokens), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(packed)])
+
+    def _plain(self, words: pa.Array) -> pa.Array:
+        """The packed ids of words of letters that signs may follow."""
+        stems = pc.utf8_rtrim(words, _SIGNS)
+        edges, data = _bytes_of(words.cast(pa.large_binary()))
+        size = edges[1:] - edges[:-1] - np.diff(_bytes_of(stems.cast(pa.large_binary()))[0])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(edges[1:] - ends[1:], size)
+        signs = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(np.frombuffer(data, np.uint8)[at].tobytes()))
+        stems, signs = stems.dictionary_encode(), signs.dictionary_encode()
+        sign_ids = pa.array([self.spans[x] for x in signs.dictionary.to_pylist()], pa.large_binary()).take(signs.indices)
+        return pc.binary_join_element_wise(self._letters(stems.dictionary).take(stems.indices), sign_ids, pa.scalar(b"", pa.large_binary()))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The packed ids of different words, each with a space before it."""
+        kind, short = pa.large_string(), pc.less_equal(pc.binary_length(words), LONGEST)
+        plain = pc.and_(short, pc.utf8_is_alpha(pc.utf8_rtrim(words, _SIGNS))).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~plain)
+        lines = pc.extract_regex(words.take(pa.array(rest)), _TWO_LINES)
+        both = pc.and_(lines.is_valid(), short.take(pa.array(rest))).to_numpy(zero_copy_only=False)
+        lines = lines.filter(pa.array(both))
+        heads = pa.concat_arrays([words.filter(pa.array(plain)), pc.struct_field(lines, "a")])
+        heads = pc.binary_join_element_wise(pa.scalar(" ", kind), heads, pa.scalar("", kind))
+        ids = self._plain(pa.concat_arrays([heads, pc.struct_field(lines, "b")]))
+        n, m = int(plain.sum()), int(both.sum())
+        two = pc.binary_join_element_wise(ids.slice(n, m), ids.slice(n + m), pa.scalar(self.spans["\n"], pa.large_binary()))
+        others = words.take(pa.array(rest[~both])).to_pylist()
+        self.learn(others)
+        ids = pa.concat_arrays([ids.slice(0, n), two, pa.array([self.words[x] for x in others], pa.large_binary())])
+        return ids.take(pa.array(np.argsort(np.concatenate([np.flatnonzero(plain), rest[both], rest[~both]]))))
+
     def _split(self, texts: list[str]) -> list[bytes]:
         """The packed ids of texts whose every space is a seam: different words are looked up once."""
         parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
@@ -319,9 +371,7 @@ class Codec:
         after_space = np.ones(len(pieces), bool)
         after_space[starts[:-1]] = False
         words = pieces.filter(pa.array(after_space)).dictionary_encode()
-        unique = words.dictionary.to_pylist()
-        self.learn(unique)
-        ids = pa.array([self.words[w] for w in unique], pa.large_binary()).take(words.indices)
+        ids = self._words(words.dictionary).take(words.indices)
         edges, data = _bytes_of(ids)
         edges = edges[np.concatenate([[0], np.cumsum(np.diff(starts) - 1)])].tolist()
         first = pieces.take(pa.array(starts[:-1])).to_pylist()

@@ -71,6 +71,26 @@ def test_bpe_equals_the_library(ranks):
     assert not any(codecs[0].merges.leaves)
 
 
+def test_bpe_of_plain_words(ranks):
+    """Words of letters with signs and a line feed are told at sight, not matched one by one; others are as the pattern has them."""
+    rng = random.Random(31)
+    letters = "abcdeéßñΩ京ªǅʰ"
+    ends = ["", "", ",", ".", "?!", "\n", ".\n", "\n\n", "'s", "1", "\u0301", "²", ".\nx", "-", "…", ".\n,", "\na.b"]
+    plain = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) + rng.choice(ends[:5]) for _ in range(4000)]
+    odd = [w + rng.choice(ends) + rng.choice(["", "Zoë", "x."]) for w in plain[:2000]] + ["a" * 47, "a" * 60, "京" * 40, ".", "é" * 24 + "."]
+    for words in (plain, odd, ["é"], ["."], plain + odd):
+        texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+        codec = bpe.Codec(ranks, public_tokenizers.PATTERN, True)
+        find, calls = codec.find, []
+        codec.find = lambda text: calls.append(text) or find(text)
+        got = list(codec.encode_all(texts))
+        assert words is not plain or len(calls) < 300
+        slow = bpe.Codec(ranks, public_tokenizers.PATTERN, False)
+        assert got == [slow.encode(t) for t in texts]
+        assert b"".join(codec.decode(x) for x in got).decode() == "".join(texts)
+        assert not any(codec.merges.leaves)
+
+
 def test_bpe_remembers_a_bounded_number(ranks, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", {"tokens": 5, "words": 5, "spans": 5})
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN, True)
