@@ -400,6 +400,25 @@ def test_lines_in_parts_of_a_bucket(spark):
     assert abs(len(found[0]) - len(want)) <= 4 and all(any(set(g) <= set(w) for w in want) for g in found[0])
 
 
+def test_lines_meet_once(spark):
+    """Lines that share several buckets with nobody else are dealt out once, whatever the number of buckets."""
+    rng = random.Random(33)
+    base = [prose(rng, 40) for _ in range(30)]
+    texts = [t for x in base for t in (x, x + " end.", "A " + x)]
+    placed = docs(spark, *texts).select(F.col("doc_id").alias("doc"), F.lit(0).alias("mark"), "text")
+    signed = common.checkpoint(lines._signed(lines._lines(placed, lines.MIN_CHARS)))
+    buckets = common.checkpoint(lines._buckets(signed))
+    of = {}
+    for r in buckets.collect():
+        of.setdefault(r["key"], set()).add(r["line"])
+    groups = [frozenset(x) for x in of.values()]
+    assert len(groups) == len(set(groups)) and buckets.select("line").distinct().count() == 90
+    bands = [set(r["bands"]) for r in signed.collect()]
+    assert sum(len(x) for x in groups) < sum(sum(k in x for x in bands) > 1 for y in bands for k in y) / 2
+    joined = common.connected_components(lines.links(placed, signed), "a", "b")
+    assert joined.groupBy("component").count().where("count = 3").count() == 30
+
+
 # 8: SimHash
 
 
