@@ -34,7 +34,7 @@ from . import common
 REMEMBERED = {"tokens": 150_000, "words": 150_000, "spans": 20_000}
 LONGEST = 48
 #: Characters of text whose new pre-tokens are encoded together.
-AT_ONCE = 16 << 20
+AT_ONCE = 4 << 20
 #: Of a word of letters, these and a line feed between or after them are pre-tokens of their own.
 _SIGNS = ".,;:!?"
 _TWO_LINES = rf"\A(?P<a>\pL+[{_SIGNS}]*)\n(?P<b>\pL+[{_SIGNS}]*)\z"
