@@ -419,6 +419,25 @@ def test_lines_meet_once(spark):
     assert joined.groupBy("component").count().where("count = 3").count() == 30
 
 
+def test_lines_run_no_python(spark, monkeypatch):
+    """DataFrame operations only, with characters beyond 16 bits, lines of one shingle and copies near the limit."""
+    rng = random.Random(41)
+    base = [prose(rng, 40) for _ in range(60)] + ["\U0001f600" + "".join(chr(rng.randrange(0x1F300, 0x1F600)) for _ in range(120)) for _ in range(10)]
+    changed = [x[: (at := rng.randrange(10, 50))] + "~" + x[at + 1 :] for x in base]
+    texts = base + changed + ["1234567890", "1234567890", "abcdefghij", "abcdefghik"]
+    df = docs(spark, *texts)
+
+    def never(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, never)
+    found = [r["text"] for r in sorted(lines.dedup_lines(df).collect(), key=lambda r: r["doc_id"])]
+    want = brute_lines(texts)
+    assert sum(x == "" for x in want) > 60 and found[:70] == texts[:70] and found[-4:] == want[-4:]
+    assert sum(a == b for a, b in zip(found, want)) >= 0.98 * len(texts)
+
+
 # 8: SimHash
 
 
