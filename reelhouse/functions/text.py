@@ -107,14 +107,25 @@ def kilobytes(size: Column) -> Column:
     return F.bround(F.coalesce(size, F.lit(0)) / 1024, 0).cast("long")
 
 
+def one_decimal(value: Column) -> Column:
+    """A number from 0 to 2^63 with one digit after the point, rounded as C's ``%.1f`` does: by its exact value, halves to the even digit."""
+    whole = F.floor(value)
+    # The fraction in units of 2^-58, exact from 2^-6 on; ten times as many units still fit a long.
+    units = ((value.cast("double") - whole) * float(1 << 58)).cast("long") * 10
+    digit, rest = F.shiftright(units, 58), units.bitwiseAND((1 << 58) - 1)
+    up = (rest > 1 << 57) | ((rest == 1 << 57) & (digit % 2 == 1))
+    tenths = digit + up.cast("int")
+    return F.concat((whole + F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def size_label(size: Column) -> Column:
-    megabytes = F.format_string("%.1f MB", size / 1048576)
+    megabytes = F.concat(one_decimal(size / 1048576), F.lit(" MB"))
     return F.when(size >= 1048576, megabytes).otherwise(F.concat(F.round(size / 1024).cast("long").cast("string"), F.lit(" KB")))
 
 
 def megapixel_label(width: Column, height: Column) -> Column:
     known = (width > 0) & (height > 0)
-    return F.when(known, F.format_string("%.1f MP", width.cast("double") * height / 1e6)).otherwise("? MP")
+    return F.when(known, F.concat(one_decimal(width.cast("double") * height / 1e6), F.lit(" MP"))).otherwise("? MP")
 
 
 def csv_field(value: Column) -> Column:

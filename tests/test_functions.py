@@ -127,6 +127,15 @@ def test_escapes_and_formats(spark):
     assert one(spark, text.suffix(F.col("x")), x="/a.b/c.D.JPG") == ".jpg"
 
 
+def test_labels_round_by_exact_value(spark):
+    """Halves go to the even digit, as in C and in the SQL; 0.15 and 0.35 lie below it, 0.45 above it."""
+    of = ((500, 500, "0.2 MP"), (1500, 500, "0.8 MP"), (1500, 100, "0.1 MP"), (3500, 100, "0.3 MP"), (4500, 100, "0.5 MP"), (1990, 1000, "2.0 MP"), (0, 9, "? MP"))
+    for width, height, want in of:
+        assert one(spark, text.megapixel_label(F.col("w"), F.col("h")), w=width, h=height) == want == (want if want[0] == "?" else "%.1f MP" % (width * height / 1e6))
+    assert one(spark, text.size_label(F.col("x")), x=1048576 * 5 // 4) == "1.2 MB"
+    assert one(spark, text.size_label(F.col("x")), x=1048576 * 5 // 4 + 1) == "1.3 MB"
+
+
 def test_kinds(spark):
     for ext, want in ((".jpg", "image"), (".dng", "raw"), (".mp4", "video"), (".xmp", "sidecar"), (".txt", "other"), ("", "other")):
         assert one(spark, text.classify(F.col("x"), CFG), x=ext) == want
