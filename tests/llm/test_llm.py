@@ -730,3 +730,14 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     pairs = [(t := prose(rng, 300), " ".join(w if i % 45 else "other" for i, w in enumerate(t.split()))) for _ in range(60)]
     kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, *(t for pair in pairs for t in pair)), str(tmp_path))
     assert {r["doc_id"] for r in kept.collect()} == set(range(0, 120, 2))
+
+
+def test_pipeline_drops_near_copies_without_id(spark, tmp_path):
+    """Rows with a null id, with the same id and other texts, and repeated rows: one row of a group stays."""
+    rng = random.Random(19)
+    one, two, three = (prose(rng, 100) for _ in range(3))
+    texts = [one, one + " end", one, two, two + " end", two, three, three, None, "", three + " end"]
+    ids = [None, None, 5, 7, 7, 8, 9, 9, None, 9, 9]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, *texts, ids=ids), str(tmp_path)).collect()
+    of = [(i, next(k for k, w in enumerate((one, two, three)) if t.startswith(w)) if t else None) for i, t in ((r["doc_id"], r["text"]) for r in kept)]
+    assert sorted(of, key=repr) == [(7, 1), (9, 2), (None, 0), (None, None)]
