@@ -419,6 +419,25 @@ def test_lines_meet_once(spark):
     assert joined.groupBy("component").count().where("count = 3").count() == 30
 
 
+def test_lines_of_a_family_that_meet(spark):
+    """Of lines that are related, few pairs meet that aren't alike, and all that are alike and not joined."""
+    rng = random.Random(52)
+    base = prose(rng, 60).split()
+    texts = [" ".join(w if rng.random() > rng.choice([0.02, 0.06, 0.1]) else f"x{rng.randrange(300)}" for w in base) for _ in range(200)]
+    texts = dict(enumerate(dict.fromkeys(texts)))
+    given = spark.createDataFrame(list(texts.items()), "line bigint, norm string")
+    left = given.select(F.lit(1).alias("key"), "line", F.lit(len(texts)).alias("n"), F.col("line").alias("component"))
+    own = lines._differences(common.checkpoint(left), given, lines.SIMILARITY)
+    label = {r["line"]: r["label"] for r in own.collect()}
+    met = {(r["a"], r["b"]) for r in lines._meeting(own, lines.SIMILARITY, 50).collect()}
+    sets = {i: lines.shingle_set(t) for i, t in texts.items()}
+    every = [(a, b) for b in texts for a in range(b) if label[a] != label[b]]
+    alike_pairs = {(a, b) for a, b in every if len(sets[a] & sets[b]) * 1.8 >= 0.8 * (len(sets[a]) + len(sets[b]))}
+    assert len(alike_pairs) > 50 and alike_pairs <= met and len(met - alike_pairs) < 0.05 * len(every)
+    found = {(r["a"], r["b"]) for r in lines._verified(spark.createDataFrame(every, "a bigint, b bigint"), own, lines.SIMILARITY).collect()}
+    assert found == alike_pairs
+
+
 def test_lines_run_no_python(spark, monkeypatch):
     """DataFrame operations only, with characters beyond 16 bits, lines of one shingle and copies near the limit."""
     rng = random.Random(41)
